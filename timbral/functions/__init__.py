@@ -1,0 +1 @@
+"""functions of the speech-signal and voice-biometric analytics engine."""

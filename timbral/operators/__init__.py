@@ -1,0 +1 @@
+"""operators of the speech-signal and voice-biometric analytics engine."""

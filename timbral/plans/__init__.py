@@ -1,0 +1 @@
+"""plans of the speech-signal and voice-biometric analytics engine."""

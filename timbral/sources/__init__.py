@@ -1,0 +1 @@
+"""sources of the speech-signal and voice-biometric analytics engine."""

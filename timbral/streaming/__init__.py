@@ -1,0 +1 @@
+"""streaming of the speech-signal and voice-biometric analytics engine."""
