@@ -18,7 +18,7 @@ from timbral.llm.shared import free_name, text_bytes
 
 #: A vocabulary file above this size is refused, since each task receives its bytes.
 MOST_VOCABULARY_BYTES = 64 << 20
-#: Pieces remembered by a worker; then it forgets all and goes on. Results do not depend on it.
+#: Parts remembered by a worker; then it forgets all and goes on. Results do not depend on it.
 REMEMBERED = 400_000
 #: Pieces longer than this are merged through a heap, since a matrix row costs its length a round.
 LONG = 2048
@@ -45,7 +45,8 @@ class Vocabulary:
         self._hash(left << 32 | right, made)
         negated = r"[^" + WHITE + r"\p{L}\p{N}]"
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", negated).replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing at under a quarter full; all keys still homeless try their next slot."""
@@ -165,18 +166,48 @@ class Vocabulary:
         return np.array([x for x in ids if x >= 0], dtype=np.int32)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [self.pattern.findall(t.decode()) for t in texts]
-        known = self.known
-        new = list(set().union(*split).difference(known)) if split else []
-        if len(known) + len(new) > REMEMBERED:
+        """Each text's ids as little-endian unsigned 32-bit integers.
+
+        No piece spans the boundary before a single space that stands between two characters
+        which are not white space, so a text is cut there and each distinct part, with its
+        space, is split into pieces and merged once.
+        """
+        cut = [t.decode().split(" ") for t in texts]
+        known, out = self.known, []
+        spaced = set().union(*(parts[1:] for parts in cut))
+        if len(known) + len(spaced) > REMEMBERED:
             known.clear()
+        new = [x for x in spaced if x not in known]
+        known.update(dict.fromkeys(new))
+        clean = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
+        known.update(zip(clean, self._encode_chunks([f" {x}" for x in clean]), strict=True))
+        heads, whole = [], []
+        for parts in cut:
+            ids = list(map(known.__getitem__, parts[1:]))
+            if (parts[0] and parts[0][-1].isspace()) or not parts[0] or None in ids:
+                whole.append(" ".join(parts))
+                out.append(None)
+            else:
+                heads.append(parts[0])
+                out.append(b"".join(ids))
+        heads, whole = iter(self._encode_chunks(heads)), iter(self._encode_chunks(whole))
+        return [next(whole) if x is None else next(heads) + x for x in out]
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        split = list(map(self.pattern.findall, chunks))
+        pieces, ranks = self.pieces, self.ranks
+        new = list(set().union(*split).difference(pieces))
+        if len(pieces) + len(new) > REMEMBERED:
+            pieces.clear()
             new = list(set().union(*split))
-        whole = [p for p in new if p.encode() in self.ranks]
-        known.update((p, self.ranks[p.encode()].to_bytes(4, "little")) for p in whole)
-        rest = [p for p in new if p not in known]
-        known.update(zip(rest, (ids.astype("<u4").tobytes() for ids in self.merge([p.encode() for p in rest])), strict=True))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        spelled = [x.encode() for x in new]
+        pieces.update((p, ranks[b].to_bytes(4, "little")) for p, b in zip(new, spelled, strict=True) if b in ranks)
+        rest = [(p, b) for p, b in zip(new, spelled, strict=True) if b not in ranks]
+        merged = self.merge([b for _, b in rest])
+        ends = np.cumsum([0, *map(len, merged)]) * 4
+        flat = np.concatenate([*merged, np.zeros(0, dtype=np.int32)]).astype("<u4").tobytes()
+        pieces.update((p, flat[i:j]) for (p, _), i, j in zip(rest, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        return [pieces[x[0]] if len(x) == 1 else b"".join(map(pieces.__getitem__, x)) for x in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.spelling.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
