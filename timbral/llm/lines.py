@@ -84,10 +84,14 @@ class LineRuns:
             self._push(level + 1, merged)
 
     def _merged(self, runs: list[str]) -> DataFrame:
+        """One run of several, by merge joins of what is bucketed and sorted alike."""
         rows = self.spark.table(runs[0])
         for run in runs[1:]:
-            rows = rows.union(self.spark.table(run))
-        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+            more = self.spark.table(run).select("h1", "h2", F.col("n_docs").alias("n"), F.col("keeper").alias("k"))
+            rows = rows.join(more.hint("merge"), ["h1", "h2"], "full_outer").select(
+                "h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("keeper", "k").alias("keeper")
+            )
+        return rows
 
     def repeated(self) -> DataFrame:
         """(h1, h2, keeper) of the keys found in min_docs documents at least."""
