@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbral.llm import bpe, lines, mixing, neighbours, ppm, quality, simhash, urls
+from timbral.llm import bpe, jpeg, lines, mixing, neighbours, passages, ppm, quality, simhash, urls
 from timbral.session import table
 
 
@@ -45,6 +45,10 @@ def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op4_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,6 +60,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.bpe_decode(bpe.bpe_encode(docs, path, pattern).drop("text"), path))
 
 
+def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_features(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.ppm_score(table(spark, sf_dir, "documents"))
 
@@ -69,8 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing_sources": op2_mixing_sources,
     "op6_line_dedup": op6_line_dedup,
     "op3_nn_descent": op3_nn_descent,
+    "op4_collinear_chaining": op4_collinear_chaining,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_progressive_jpeg": op8_progressive_jpeg,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_classifier": op10_quality_classifier,
 }
