@@ -20,6 +20,8 @@ from timbral.llm.shared import free_name, text_bytes
 MOST_VOCABULARY_BYTES = 64 << 20
 #: Parts remembered by a worker; then it forgets all and goes on. Results do not depend on it.
 REMEMBERED = 400_000
+#: Bytes of text whose parts are held at once, unless a single text has more.
+SLICE = 1 << 20
 #: Pieces longer than this are merged through a heap, since a matrix row costs its length a round.
 LONG = 2048
 #: Cells of one matrix.
@@ -27,6 +29,8 @@ CELLS = 1 << 18
 NONE = np.int32(2**31 - 1)
 #: The characters that Unicode calls White_Space, as `\s` of the vocabulary's own
 #: splitter takes them. Python's `\s` has four more, the separators U+001C to U+001F.
+LATIN_END = "\u0250"
+MARKS = frozenset(",.;:!?")
 WHITE = r"\t-\r \x85\xa0  -     　"
 
 
@@ -166,15 +170,22 @@ class Vocabulary:
         return np.array([x for x in ids if x >= 0], dtype=np.int32)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers.
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        out, start, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= SLICE or i == len(texts) - 1:
+                out += self._encode_slice(texts[start : i + 1])
+                start, size = i + 1, 0
+        return out
 
-        No piece spans the boundary before a single space that stands between two characters
+    def _encode_slice(self, texts: list[bytes]) -> list[bytes]:
+        """No piece spans the boundary before a single space that stands between two characters
         which are not white space, so a text is cut there and each distinct part, with its
-        space, is split into pieces and merged once.
-        """
+        space, is split into pieces and merged once."""
         cut = [t.decode().split(" ") for t in texts]
         known, out = self.known, []
-        spaced = set().union(*(parts[1:] for parts in cut))
+        spaced = set().union(*cut)
         if len(known) + len(spaced) > REMEMBERED:
             known.clear()
         new = [x for x in spaced if x not in known]
@@ -183,18 +194,27 @@ class Vocabulary:
         known.update(zip(clean, self._encode_chunks([f" {x}" for x in clean]), strict=True))
         heads, whole = [], []
         for parts in cut:
-            ids = list(map(known.__getitem__, parts[1:]))
-            if (parts[0] and parts[0][-1].isspace()) or not parts[0] or None in ids:
+            head = parts[0]
+            if not head or head[-1].isspace() or None in (ids := list(map(known.__getitem__, parts[1:]))):
                 whole.append(" ".join(parts))
                 out.append(None)
             else:
-                heads.append(parts[0])
+                heads.append(head)
                 out.append(b"".join(ids))
         heads, whole = iter(self._encode_chunks(heads)), iter(self._encode_chunks(whole))
         return [next(whole) if x is None else next(heads) + x for x in out]
 
+    def _split(self, chunk: str) -> list[str]:
+        """The pattern's pieces; a space with Latin letters, and a mark after them, needs no search."""
+        word = chunk[1:]
+        if word.isalpha() and chunk[0] == " " and (word.isascii() or max(word) < LATIN_END):
+            return [chunk]
+        if word[:-1].isalpha() and chunk[0] == " " and word[-1] in MARKS and (word.isascii() or max(word) < LATIN_END):
+            return [chunk[:-1], word[-1]]
+        return self.pattern.findall(chunk)
+
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        split = list(map(self.pattern.findall, chunks))
+        split = list(map(self._split, chunks))
         pieces, ranks = self.pieces, self.ranks
         new = list(set().union(*split).difference(pieces))
         if len(pieces) + len(new) > REMEMBERED:
@@ -209,8 +229,32 @@ class Vocabulary:
         pieces.update((p, flat[i:j]) for (p, _), i, j in zip(rest, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
         return [pieces[x[0]] if len(x) == 1 else b"".join(map(pieces.__getitem__, x)) for x in split]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.spelling.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+class Spelling:
+    """The bytes of every id, laid out for numpy."""
+
+    def __init__(self, lines: bytes):
+        spelled = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines.splitlines())}
+        self.size = np.zeros(max(spelled) + 1, dtype=np.int64)
+        for i, x in spelled.items():
+            self.size[i] = len(x)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(spelled.get(i, b"") for i in range(len(self.size))), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids spell; an id outside the vocabulary raises IndexError."""
+        size = self.size[ids]
+        if len(ids) and not size.all():
+            raise IndexError("an id is outside the vocabulary")
+        ends = np.cumsum(size)
+        from_ = np.repeat(self.start[ids] - ends + size, size)
+        from_ += np.arange(len(from_))
+        return self.flat[from_].tobytes()
+
+
+@lru_cache(maxsize=4)
+def _spelling(lines: bytes) -> Spelling:
+    return Spelling(lines)
 
 
 @lru_cache(maxsize=4)
@@ -225,17 +269,22 @@ def read_vocabulary(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that no worker holds the ids of all its texts."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def _packed(ids: list[bytes]) -> pa.Array:
     """Lists of ids as one Arrow list<int32> array."""
     ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
 
 
-def _unpacked(column: pa.ListArray) -> list[bytes]:
-    column = column.cast(pa.list_(pa.int32()))
-    flat = np.asarray(column.values, dtype="<u4")
+def _unpacked(column: pa.ListArray) -> list[np.ndarray]:
+    flat = np.asarray(column.values, dtype="<i4")
     ends = np.asarray(column.offsets)
-    return [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
@@ -253,23 +302,28 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(lines, pattern)
         for batch in batches:
-            ids = _packed(words.encode(text_bytes(batch.column(at))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, name])
+            for part in _slices(batch):
+                ids = _packed(words.encode(text_bytes(part.column(at))))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
 
 
+def _without_null(column: pa.ListArray) -> pa.ListArray:
+    return pa.array([x or [] for x in column.to_pylist()], column.type) if column.null_count else column
+
+
 def bpe_decode(tokens: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """tokens with `out_col`, the bytes that the ids spell (binary: ids may end inside a
-    character). Null ids count as none. An id outside the vocabulary raises KeyError."""
+    character). Null ids count as none. An id outside the vocabulary raises IndexError."""
     lines = read_vocabulary(vocabulary)
     name = free_name(tokens.columns, out_col)
     at = tokens.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _vocabulary(lines, "")
+        words = _spelling(lines)
         for batch in batches:
-            spelled = pa.array([words.decode(x) for x in _unpacked(batch.column(at).fill_null([]))], pa.binary())
+            spelled = pa.array([words.decode(x) for x in _unpacked(_without_null(batch.column(at)))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, spelled], [*batch.schema.names, name])
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(name, T.BinaryType())]))
@@ -282,8 +336,8 @@ def token_digests(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "tok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = _unpacked(batch.column(1))
+            ids = _unpacked(_without_null(batch.column(1)))
             sha = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), sha, batch.column(2)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), sha, batch.column(2)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return kept.mapInArrow(run, T.StructType([kept.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
