@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timbral.llm.shared import free_name, text_bytes
+from timbral.llm.shared import free_name, slices, text_bytes
 
 #: A vocabulary file above this size is refused, since each task receives its bytes.
 MOST_VOCABULARY_BYTES = 64 << 20
 #: Parts remembered by a worker; then it forgets all and goes on. Results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes of text whose parts are held at once, unless a single text has more.
 SLICE = 1 << 20
 #: Pieces longer than this are merged through a heap, since a matrix row costs its length a round.
@@ -171,13 +171,7 @@ class Vocabulary:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        out, start, size = [], 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= SLICE or i == len(texts) - 1:
-                out += self._encode_slice(texts[start : i + 1])
-                start, size = i + 1, 0
-        return out
+        return [ids for i, j in slices(texts, SLICE) for ids in self._encode_slice(texts[i:j])]
 
     def _encode_slice(self, texts: list[bytes]) -> list[bytes]:
         """No piece spans the boundary before a single space that stands between two characters
@@ -269,7 +263,7 @@ def read_vocabulary(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     """A batch in parts, so that no worker holds the ids of all its texts."""
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
@@ -287,6 +281,28 @@ def _unpacked(column: pa.ListArray) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _without_null(column: pa.ListArray) -> pa.ListArray:
+    return pa.array([x or [] for x in column.to_pylist()], column.type) if column.null_count else column
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def _with_ids(batches: Batches, lines: bytes, pattern: str, at: int, name: str) -> Batches:
+    words = _vocabulary(lines, pattern)
+    for batch in batches:
+        for part in _slices(batch):
+            ids = _packed(words.encode(text_bytes(part.column(at))))
+            yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, name])
+
+
+def _with_bytes(batches: Batches, lines: bytes, at: int, name: str) -> Batches:
+    words = _spelling(lines)
+    for batch in batches:
+        spelled = pa.array([words.decode(x) for x in _unpacked(_without_null(batch.column(at)))], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, spelled], [*batch.schema.names, name])
+
+
 def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """docs with `out_col`, the array<int> of each whole text's ids.
 
@@ -298,19 +314,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "
     lines = read_vocabulary(vocabulary)
     name = free_name(docs.columns, out_col)
     at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _vocabulary(lines, pattern)
-        for batch in batches:
-            for part in _slices(batch):
-                ids = _packed(words.encode(text_bytes(part.column(at))))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, name])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
-
-
-def _without_null(column: pa.ListArray) -> pa.ListArray:
-    return pa.array([x or [] for x in column.to_pylist()], column.type) if column.null_count else column
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    return docs.mapInArrow(lambda batches: _with_ids(batches, lines, pattern, at, name), schema)
 
 
 def bpe_decode(tokens: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -319,25 +324,23 @@ def bpe_decode(tokens: DataFrame, vocabulary: str, ids_col: str = "token_ids", o
     lines = read_vocabulary(vocabulary)
     name = free_name(tokens.columns, out_col)
     at = tokens.columns.index(ids_col)
+    schema = T.StructType([*tokens.schema.fields, T.StructField(name, T.BinaryType())])
+    return tokens.mapInArrow(lambda batches: _with_bytes(batches, lines, at, name), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _spelling(lines)
-        for batch in batches:
-            spelled = pa.array([words.decode(x) for x in _unpacked(_without_null(batch.column(at)))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, spelled], [*batch.schema.names, name])
-
-    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(name, T.BinaryType())]))
 
+def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each whole text, encoded as by
+    bpe_encode() and its ids decoded as by bpe_decode(), in one pass through the tasks. The ids
+    are hashed as little-endian unsigned 32-bit integers."""
+    lines = read_vocabulary(vocabulary)
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
-def token_digests(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded rows; the ids are
-    hashed as little-endian unsigned 32-bit integers."""
-    kept = tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"), F.sha2(F.col(decoded_col), 256).alias("decoded_sha256"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = _unpacked(_without_null(batch.column(1)))
-            sha = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), sha, batch.column(2)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def run(batches: Batches) -> Batches:
+        for batch in _with_bytes(_with_ids(batches, lines, pattern, 1, "ids"), lines, 2, "decoded"):
+            ids = _unpacked(batch.column(2))
+            columns = [pa.array([len(x) for x in ids], pa.int64()), *[pa.array([hashlib.sha256(x).hexdigest() for x in c], pa.string()) for c in (ids, map(memoryview, batch.column(3).to_pylist()))]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
-    return kept.mapInArrow(run, T.StructType([kept.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
+    kinds = (kept.schema["doc_id"].dataType, T.LongType(), T.StringType(), T.StringType())
+    return kept.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))

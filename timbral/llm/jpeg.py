@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbral.llm.shared import free_name, text_bytes
+from timbral.llm.shared import free_name, slices, text_bytes
 
 UNIT = 576
 #: MCUs in a row of a written image, and MCUs between restart markers.
@@ -688,15 +688,6 @@ def stored_payload(image: Image, coef: np.ndarray) -> bytes:
     return (coef[: image.payload // 64] + 128).astype(np.uint8).tobytes()
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= SLICE or i == len(texts) - 1:
-            yield start, i + 1
-            start, size = i + 1, 0
-
-
 def store_text(docs: DataFrame, text_col: str = "text", out_col: str = "media") -> DataFrame:
     """docs with out_col, a progressive JPEG file (binary) that holds each whole text's UTF-8
     bytes and their padding without loss. A null or empty text is one unit of padding. Repeated
@@ -707,7 +698,7 @@ def store_text(docs: DataFrame, text_col: str = "text", out_col: str = "media")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payloads = [payload_of(t) for t in text_bytes(batch.column(at))]
-            for a, b in _slices(payloads):
+            for a, b in slices(payloads, SLICE):
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(encode(payloads[a:b]), pa.binary())], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, docs.select("*", F.lit(b"").alias(name)).schema)
@@ -723,7 +714,7 @@ def decode_media(media: DataFrame, media_col: str = "media") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = batch.column(at).to_pylist()
-            for a, b in _slices([f or b"" for f in files]):
+            for a, b in slices([f or b"" for f in files], SLICE):
                 out: list = [(None, None, None)] * (b - a)
                 here = [i for i in range(a, b) if files[i]]
                 images, coef, starts = coefficients([files[i] for i in here]) if here else ([], None, [])
@@ -749,7 +740,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
             texts = text_bytes(batch.column(1))
-            for a, b in _slices(texts):
+            for a, b in slices(texts, SLICE):
                 files = encode([payload_of(t) for t in texts[a:b]])
                 images, coef, starts = coefficients(files)
                 rows: list = [None] * (b - a)

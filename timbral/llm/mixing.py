@@ -26,8 +26,8 @@ def n_words(text: Column) -> Column:
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0) -> np.ndarray:
     """How many documents of each length to take so that their lengths sum up to near budget.
 
-    Takes of each length its share of the budget, rounded by a seeded number, gives back in
-    seeded order what is too much and adds what fits, until at most DP_TOKENS are missing.
+    Takes of each length its share of the budget, rounded by a seeded number, and gives back
+    or adds in seeded order, until DP_TOKENS / 2 or more, and about DP_TOKENS at most, are missing.
     That rest is a bounded knapsack: reachable sums as bits, each length's leftover count in
     powers of two, walked back from the sum that comes nearest.
     """
@@ -36,8 +36,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
     budget = min(max(0, int(budget)), total)
     if not total or not budget:
         return np.zeros_like(counts)
-    if budget == total:
-        return counts.copy()
+    if budget > total // 2:  # what stays out is fitted instead
+        return counts - fit_budget(lengths, counts, total - budget, seed)
     mixed = (lengths.astype(np.uint64) + np.uint64(seed + 1)) * np.uint64(SPREAD)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     chance = (mixed >> np.uint64(11)).astype(np.float64) / 2.0**53
@@ -57,6 +57,12 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
         if more > 0:
             take[i] += more
             missing -= more * int(lengths[i])
+    for i in order[::-1]:  # documents to choose anew, so that the knapsack has a choice
+        if missing >= DP_TOKENS // 2:
+            break
+        back = min(int(take[i]), -(-(DP_TOKENS // 2 - missing) // int(lengths[i]))) if lengths[i] <= DP_TOKENS // 2 else 0
+        take[i] -= back
+        missing += back * int(lengths[i])
     left = counts - take
     small = np.flatnonzero((left > 0) & (lengths <= 2 * max(missing, 1)) & (lengths <= 2 * DP_TOKENS))
     most = min(2 * missing, 2 * DP_TOKENS)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timbral.llm.shared import settle, text_bytes
+from timbral.llm.shared import settle, slices, text_bytes
 
 #: Words share so many slots by hash, so vectors are of fixed size whatever the corpus.
 SLOTS = 1 << 16
@@ -89,8 +89,10 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         index, known = index_vectors(), _Slots()
         total = np.zeros((SLOTS, DIM), dtype=np.int64)
         for batch in batches:
-            slots, sums = context_sums(*slots_of(text_bytes(batch.column(0)), known), index)
-            np.add.at(total, slots, sums)
+            texts = text_bytes(batch.column(0))
+            for i, j in slices(texts):
+                slots, sums = context_sums(*slots_of(texts[i:j], known), index)
+                np.add.at(total, slots, sums)
         used = np.flatnonzero(total.any(axis=1))
         for i in range(0, len(used), 8192):
             at = used[i : i + 8192]
@@ -181,7 +183,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Slots()
         for batch in batches:
-            x = pooled(*slots_of(text_bytes(batch.column(1)), known), sent.value)
+            texts = text_bytes(batch.column(1))
+            x = np.concatenate([pooled(*slots_of(texts[i:j], known), sent.value) for i, j in slices(texts)])
             values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "x"])
 

@@ -55,9 +55,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = tokenizer()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.token_digests(bpe.bpe_decode(bpe.bpe_encode(docs, path, pattern).drop("text"), path))
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), *tokenizer())
 
 
 def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +69,14 @@ def text_bytes(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about `most` bytes in all: what a worker splits at once, so
+    that it never holds the words of a whole batch. A longer text is a run by itself."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most or i == len(texts) - 1:
+            yield start, i + 1
+            start, size = i + 1, 0
