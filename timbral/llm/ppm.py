@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timbral.llm.shared import discard, settle, text_bytes
+from timbral.llm.shared import discard, settle, slices, text_bytes
 
 ORDER = 4
 #: Positions handled at once: a gram's 40 bits and a position's 22 share one sorted integer.
@@ -79,18 +79,6 @@ def hash_words(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), dtype=np.uint64)
 
 
-def _blocks(bodies: list[bytes]) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for b in bodies:
-        if held and size + len(b) > BLOCK // 2:
-            yield held
-            held, size = [], 0
-        held.append(b)
-        size += len(b)
-    if held:
-        yield held
-
-
 def is_held_out(doc_id: Column) -> Column:
     """crc32 of the id as text leaves 1 by 5; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
@@ -117,25 +105,32 @@ def gather(docs: DataFrame) -> Counts:
             yield from rows(WORD, hash_words(words), n, n)
             words.clear()
 
+        def merge() -> None:
+            nonlocal keys, counts
+            keys, counts = _summed(np.concatenate([keys, *[k for k, _ in fresh]]), np.concatenate([counts, *[n for _, n in fresh]]))
+            fresh.clear()
+
         words: Counter = Counter()
+        fresh: list = []
         keys, counts = np.zeros(0, dtype=np.uint64), np.zeros((0, 2), dtype=np.int64)
         for batch in batches:
-            texts = [split_words(t) for t in text_bytes(batch.column(0))]
-            held = batch.column(1).to_pylist()
-            for out, column in ((False, [0, 1]), (True, [1])):
-                for block in _blocks([symbols(w) for w, h in zip(texts, held, strict=True) if h == out]):
-                    found = gram_keys(block)[0]
-                    for i in range(0, len(found), BLOCK):
-                        k, n = _counted(found[i : i + BLOCK])
-                        more = np.zeros((len(k), 2), dtype=np.int64)
-                        more[:, column] = n[:, None]
-                        keys, counts = _summed(np.concatenate([keys, k]), np.concatenate([counts, more]))
-            for w, h in zip(texts, held, strict=True):
-                if not h:
-                    words.update(w)
-                    words[END] += 1
-                    if len(words) > WORDS_HELD:
-                        yield from words_held()
+            texts, held = text_bytes(batch.column(0)), batch.column(1).to_pylist()
+            for i, j in slices(texts):
+                split = [split_words(t) for t in texts[i:j]]
+                for out, column in ((False, [0, 1]), (True, [1])):
+                    k, n = _counted(gram_keys([symbols(w) for w, h in zip(split, held[i:j], strict=True) if h == out])[0])
+                    more = np.zeros((len(k), 2), dtype=np.int64)
+                    more[:, column] = n[:, None]
+                    fresh.append((k, more))
+                for w, h in zip(split, held[i:j], strict=True):
+                    if not h:
+                        words.update(w)
+                        words[END] += 1
+                        if len(words) > WORDS_HELD:
+                            yield from words_held()
+                if sum(len(k) for k, _ in fresh) > 1 << 20:
+                    merge()
+            merge()
             if len(keys) > 1 << 21:
                 yield from rows(GRAM, keys, counts[:, 0], counts[:, 1])
                 keys, counts = keys[:0], counts[:0]
@@ -242,8 +237,8 @@ def ppm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (hot_keys, hot_counts), model = sent.value
         hot_logs = np.log10(hot_counts + 0.5) - below
-        for batch in batches:
-            texts = [split_words(t) for t in text_bytes(batch.column(1))]
+
+        def scored(batch: pa.RecordBatch, texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
             columns: list = [[], [], [], []]
             for words in texts:
                 found = Counter(words)
@@ -258,18 +253,21 @@ def ppm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 columns[3].append(np.repeat(keys[~known], n[~known]).view(np.int64))
             bodies = [symbols(w) for w in texts]
             if model is not None:
-                score = []
-                for block in _blocks(bodies):
-                    keys, sizes = gram_keys(block)
-                    score += np.add.reduceat(_looked_up(keys, *model), np.r_[0, np.cumsum(sizes)[:-1]]).tolist()
-                grams = [None] * len(texts)
+                keys, sizes = gram_keys(bodies)
+                score = np.add.reduceat(_looked_up(keys, *model), np.r_[0, np.cumsum(sizes)[:-1]]).tolist()
+                grams: list = [None] * len(texts)
             else:
                 score = [0.0] * len(texts)
-                found = [_counted(gram_keys([b])[0]) for b in bodies]
-                grams = [[{"key": k, "n": m} for k, m in zip(a.view(np.int64).tolist(), b.tolist(), strict=True)] for a, b in found]
+                counted = [_counted(gram_keys([b])[0]) for b in bodies]
+                grams = [[{"key": k, "n": m} for k, m in zip(a.view(np.int64).tolist(), b.tolist(), strict=True)] for a, b in counted]
             arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.list_(pa.int64())), pa.array(score, pa.float64()), pa.array(grams, pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *arrays], ["doc_id", "held_out", "rid", "n_tokens", "n_known", "base_score", "cold", "score", "grams"])
 
+        for whole in batches:
+            every = text_bytes(whole.column(1))
+            for i, j in slices(every):
+                yield from scored(whole.slice(i, j - i), [split_words(t) for t in every[i:j]])
+
     schema = "doc_id long, held_out boolean, rid long, n_tokens long, n_known long, base_score double, cold array<long>, score double, grams array<struct<key:long,n:long>>"
     each = settle(wanted.withColumn("rid", F.monotonically_increasing_id()).select("doc_id", "text", "held_out", "rid").mapInArrow(run, schema), "ppm-documents")
     cold = each.select("rid", F.explode("cold").alias("key")).join(counts.words, "key", "left")
