@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once and not at each use inside higher-order functions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(vec: Column) -> Column:
     return F.transform(vec, lambda x: x.cast("double"))
 
@@ -26,8 +31,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length 1; null where its length is 0."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n))
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -51,9 +55,8 @@ def distance_similarity(distance: Column) -> Column:
 
 def softmax(a: Column) -> Column:
     """exp(x - max) over their sum."""
-    top = F.array_max(a)
-    shifted = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    shifted = let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return let(shifted, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def sigmoid(x: Column) -> Column:
@@ -63,7 +66,7 @@ def sigmoid(x: Column) -> Column:
 def peak_normalized(a: Column) -> Column:
     """Unchanged when the peak is in (0.1, 1], else divided by the peak."""
     peak = F.array_max(F.transform(a, F.abs))
-    return F.when((peak > 0.1) & (peak <= 1), a).otherwise(F.transform(a, lambda x: x / (peak + 1e-10)))
+    return let(peak, lambda p: F.when((p > 0.1) & (p <= 1), a).otherwise(F.transform(a, lambda x: x / (p + 1e-10))))
 
 
 def has_nan_or_inf(a: Column) -> Column:
@@ -73,8 +76,7 @@ def has_nan_or_inf(a: Column) -> Column:
 
 def entropy_bits(a: Column) -> Column:
     """-sum p log2(p + 1e-10) of non-negative values scaled to sum 1."""
-    whole = total(a)
-    return -total(F.transform(a, lambda x: x / whole * F.log2(x / whole + 1e-10)))
+    return let(total(a), lambda s: -total(F.transform(a, lambda x: x / s * F.log2(x / s + 1e-10))))
 
 
 def range_score(value: Column, low: float, high: float) -> Column:

@@ -12,10 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timbral.functions import signal as S
 from timbral.functions import text as T
 from timbral.functions import vectors as V
-from timbral.operators import evaluation, learning, monitoring, sequence, transcripts, verification
+from timbral.operators import evaluation, learning, liveness, monitoring, sequence, transcripts, verification
 from timbral.session import table
+from timbral.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -274,15 +276,16 @@ def range_score(spark, sf):
 
 
 def decisions(spark, sf) -> DataFrame:
+    """Scores that never lie halfway between two printed numbers."""
     c = F.col("value")
     return table(spark, sf, "events").select(
-        "event_id", r6(c / (c + 100)).alias("sim"), F.when(F.col("event_type") != "view", r6(c / 499)).alias("spoof"),
-        F.when(F.col("event_type") == "error", r6(c / 101)).otherwise(0.0).alias("anomaly"), F.when(F.col("event_type") == "click", r6(c / 149)).otherwise(0.0).alias("seq"),
+        "event_id", (r6(c / (c + 97)) + 1e-7).alias("sim"), F.when(F.col("event_type") != "view", r6(c / 499) + 1e-7).alias("spoof"),
+        F.when(F.col("event_type") == "error", r6(c / 101) + 1e-7).otherwise(0.0).alias("anomaly"), F.when(F.col("event_type") == "click", r6(c / 149) + 1e-7).otherwise(0.0).alias("seq"),
     )
 
 
-DECISIONS = """d as (select event_id, round(value / (value + 100), 6) as sim, case when event_type <> 'view' then round(value / 499, 6) end as spoof,
-  case when event_type = 'error' then round(value / 101, 6) else 0 end as anomaly, case when event_type = 'click' then round(value / 149, 6) else 0 end as seq from events)"""
+DECISIONS = """d as (select event_id, round(value / (value + 97), 6) + 1e-7 as sim, case when event_type <> 'view' then round(value / 499, 6) + 1e-7 end as spoof,
+  case when event_type = 'error' then round(value / 101, 6) + 1e-7 else 0 end as anomaly, case when event_type = 'click' then round(value / 149, 6) + 1e-7 else 0 end as seq from events)"""
 shown = lambda text, c: f"replace('{text}', '%', printf('%.3f', {c}))"
 
 
@@ -300,7 +303,7 @@ def policy_explanation(spark, sf):
     return decisions(spark, sf).select("event_id", verification.explanation(c("sim"), c("spoof"), c("anomaly"), c("seq"), c("sim") >= 0.7).alias("explanation"))
 
 
-@query(f"""with {DECISIONS} select event_id, 'voice_similarity' as factor, sim as score from d union all select event_id, 'antispoofing', spoof from d where spoof is not null
+@query(f"""with {DECISIONS} select event_id, 'voice_similarity' as factor, round(sim, 6) as score from d union all select event_id, 'antispoofing', round(spoof, 6) from d where spoof is not null
 union all select event_id, 'anomaly', round(1 - greatest(0, least(1, anomaly)), 6) from d where anomaly <> 0 union all select event_id, 'sequence', round(1 - greatest(0, least(1, seq)), 6) from d where seq <> 0""")
 def policy_factors(spark, sf):
     c = F.col
@@ -600,3 +603,139 @@ def should_retrain(spark, sf):
     last = worst.select(metric.alias("metric"), F.col("then_value").alias("value"), F.col("then").cast("timestamp").alias("trained_at"))
     current = worst.select(metric.alias("metric"), F.col("now_value").alias("value"), F.col("now").cast("timestamp").alias("now"))
     return monitoring.should_retrain(last, current)
+
+
+@query(f"""with {SIG}, d as (select user_id, abs(x - lag(x) over (partition by user_id order by i)) as step from sig)
+select user_id, round(avg(1 - least(1, step / 150)), 6) as continuity, round(avg(step), 6) as transition, round(avg(cast(step < 50 as int)), 6) as stability from d group by user_id""")
+def track_continuity(spark, sf):
+    found = liveness.continuity(signal(spark, sf), ["user_id"], "x", 150.0)
+    return found.select("user_id", *[r6(c).alias(c) for c in ("continuity", "transition", "stability")])
+
+
+@query(f"""with {FRAMES}, m as (select user_id, frame, list_min(xs) as low from frames) select user_id, round(1 / (1 + stddev_pop(low) / nullif(avg(low), 0)), 6) as stability from m group by user_id""")
+def noise_floor_stability(spark, sf):
+    frames = sequence.framed(signal(spark, sf), ["user_id"], "x", 8, 4).withColumn("low", F.array_min("x"))
+    return liveness.noise_floor_stability(frames, ["user_id"], "low").select("user_id", r6("stability").alias("stability"))
+
+
+@query(f"""with {SIG} select user_id, round(case when count(x) > 2 then 1 / (1 + stddev_pop(x) / avg(x)) else 0 end, 6) as stability from sig where x > 0 group by user_id""")
+def pitch_stability(spark, sf):
+    return liveness.pitch_stability(signal(spark, sf), ["user_id"], "x").select("user_id", r6("stability").alias("stability"))
+
+
+@query("select event_id, case when f0 < 75 then 'low' when f0 > 400 then 'high' when f0 is not null then 'normal' when value > 100 then 'speech' else 'silence' end as status from (select *, case when event_type <> 'error' then value end as f0 from events)")
+def pitch_status(spark, sf):
+    f0 = F.when(F.col("event_type") != "error", F.col("value"))
+    return table(spark, sf, "events").select("event_id", liveness.pitch_status(f0, F.col("value") > 100).alias("status"))
+
+
+@query(f"""with {SIG}, n as (select user_id, i, x, lag(x) over w as l, lead(x) over w as r from sig window w as (partition by user_id order by i)), p as (select user_id, i from n where x > l and x > r and x >= 100),
+g as (select user_id, i, i - lag(i) over (partition by user_id order by i) as gap from p), h as (select *, lag(gap) over (partition by user_id order by i) as was from g)
+select user_id, count(*) as n_peaks, round(coalesce(100 * avg(abs(gap - was) / ((gap + was) / 2.0::double)), 0), 6) as npvi, round(coalesce(100 * stddev_pop(gap) / avg(gap), 0), 6) as varco from h group by user_id""")
+def rhythm_npvi(spark, sf):
+    found = liveness.rhythm(peak_picking(spark, sf), ["user_id"], "i")
+    return found.select("user_id", "n_peaks", r6("npvi").alias("npvi"), r6("varco").alias("varco"))
+
+
+@query(f"""with {CELLS}, s as (select label, i, v * 3 - lag(v * 3) over (partition by label, i order by vec_id) as step from cells), b as (select label, i, stddev_pop(atan2(sin(step), cos(step))) as sd from s group by 1, 2)
+select label, round(1 / (1 + avg(sd)), 6) as coherence from b group by label""")
+def phase_coherence(spark, sf):
+    cells = verification.components(table(spark, sf, "embeddings"), ["label", "vec_id"], "embedding")
+    cells = cells.select("label", F.col("i").alias("bin"), F.col("vec_id").alias("i"), (F.col("v") * 3).alias("phase"))
+    return liveness.phase_coherence(cells, ["label"], "bin", "phase").select("label", r6("coherence").alias("coherence"))
+
+
+BANDS = [("low", 0, 7), ("middle", 8, 31), ("high", 32, 63), ("beyond", 64, 90)]
+
+
+@query(f"with {CELLS} " + " union all ".join(f"select vec_id, '{n}' as band, round(coalesce(avg(abs(v)) filter (i between {a} and {b}), 0), 6) as energy from cells group by vec_id" for n, a, b in BANDS))
+def band_energies(spark, sf):
+    cells = verification.components(table(spark, sf, "embeddings"), ["vec_id"], "embedding").withColumn("m", F.abs("v"))
+    return liveness.band_means(cells, ["vec_id"], "i", "m", BANDS).select("vec_id", "band", r6("energy").alias("energy"))
+
+
+@query(f"""with {CELLS}, w as (select vec_id, i, abs(v) as m, lag(abs(v)) over (partition by vec_id order by i) as was from cells)
+select vec_id, round(greatest(0, least(1, 1 - sum(case when i >= 56 and m < 0.7::double * was then 0.2::double * i / 64 else 0 end))), 6) as score from w group by vec_id""")
+def cutoff_score(spark, sf):
+    cells = verification.components(table(spark, sf, "embeddings"), ["vec_id"], "embedding").withColumn("m", F.abs("v"))
+    return liveness.cutoff_score(cells, ["vec_id"], "i", "m", 56.0, 64.0).select("vec_id", r6("score").alias("score"))
+
+
+@query(f"""with {CELLS}, m as (select vec_id, i, abs(v) as m, sum(abs(v)) over (partition by vec_id) as t, sum(abs(v)) over (partition by vec_id order by i rows unbounded preceding) as c from cells),
+g as (select vec_id, sum(m * i * 125) / sum(m) as f, exp(avg(ln(m * m + 1e-10))) / avg(m * m + 1e-10) as flat, count(*) filter (c < t * 0.85::double) as roll from m group by vec_id)
+select m.vec_id, round(max(f), 4) as centroid, round(sqrt(sum(m * (i * 125 - f) * (i * 125 - f)) / sum(m)), 4) as bandwidth, round(max(flat), 6) as flatness, max(roll) as rolloff from m join g on m.vec_id = g.vec_id group by m.vec_id""")
+def spectral_shape(spark, sf):
+    mag = F.transform(V.doubles(F.col("embedding")), F.abs)
+    rows = table(spark, sf, "embeddings").select("vec_id", mag.alias("m"))
+    return rows.select("vec_id", F.round(S.centroid(F.col("m"), 125.0), 4).alias("centroid"), F.round(S.bandwidth(F.col("m"), 125.0), 4).alias("bandwidth"), r6(S.flatness(F.col("m"))).alias("flatness"), S.rolloff_bin(F.col("m")).cast("long").alias("rolloff"))
+
+
+@query(f"""with {SIMS}, l as (select vec_id, (round(s, 6) - case when label = candidate then 0.2::double else 0 end) / 0.1::double as logit, label = candidate as own from sims)
+select vec_id, round(ln(sum(exp(logit))) - max(logit) filter (own), 6) as loss from l group by vec_id""")
+def prototypical_loss(spark, sf):
+    found = liveness.prototypical_loss(identify_all_speakers(spark, sf), ["vec_id"], F.col("label") == F.col("candidate"))
+    return found.select("vec_id", r6("loss").alias("loss"))
+
+
+@query(f"""with {CELLS}, x as (select vec_id, i, exp(v - max(v) over (partition by vec_id)) as e from cells) select vec_id, round(max(e) / sum(e), 6) as top from x group by vec_id""")
+def softmax_top(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", r6(F.array_max(V.softmax(V.doubles(F.col("embedding"))))).alias("top"))
+
+
+@query(f"with {FED} select l_suppkey, round(0.005::double * sum((l_extendedprice - mean) * (l_extendedprice - mean)), 0) as term from lineitem join fed using (l_linenumber, l_partkey) group by 1")
+def proximal_term(spark, sf):
+    found = liveness.proximal_term(table(spark, sf, "lineitem"), federated(spark, sf), ["l_linenumber", "l_partkey"], "l_suppkey", "l_extendedprice")
+    return found.select("l_suppkey", F.round("term", 0).alias("term"))
+
+
+@query("select event_id, round(round_even(value / 499 * 255 / 2, 0) * 2 / 255, 6) as sample from events")
+def bit_depth_quantize(spark, sf):
+    return table(spark, sf, "events").select("event_id", r6(liveness.bit_depth(F.col("value") / 499, 8)).alias("sample"))
+
+
+@query("select s_suppkey, s_acctbal from supplier order by (s_nationkey >= 10 and s_acctbal >= 5000) desc, s_suppkey limit 1")
+def device_selection(spark, sf):
+    devices = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("index"), F.col("s_nationkey").alias("max_channels"), F.col("s_acctbal").alias("sample_rate"))
+    return liveness.pick_device(devices, 10, 5000).select(F.col("index").alias("s_suppkey"), F.col("sample_rate").alias("s_acctbal"))
+
+
+@query("""with w as (select user_id, cast(date_trunc('day', ts) as timestamp) - to_days(cast(k as int)) as start, value as x from events, range(2) t(k))
+select user_id as device, epoch(start)::bigint as start_s, round(sqrt(avg(x * x)), 6) as rms, max(abs(x)) as peak, count(*) as n from w group by 1, 2""")
+def window_levels(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("device"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("x"))
+    found = sessions.windowed_levels(rows, "2 days", "1 day")
+    return found.select("device", F.unix_timestamp("start").alias("start_s"), r6("rms").alias("rms"), "peak", "n")
+
+
+def tones(spark) -> DataFrame:
+    rows = [("a", 200.0, 0.5, 8000), ("b", 400.0, 0.5, 8000), ("c", 150.0, 0.3, 6000), ("quiet", 300.0, 0.0, 4000)]
+    return S.tone(spark, rows)
+
+
+@query()
+def mfcc_tones(spark, sf):
+    frames = sequence.framed(tones(spark), ["utt_id"], "x", 400, 160)
+    return frames.select("utt_id", "frame", S.mfcc(16000)(F.col("x")).alias("mfcc"))
+
+
+@query()
+def pitch_tones(spark, sf):
+    frames = sequence.framed(tones(spark), ["utt_id"], "x", 800, 400)
+    return frames.select("utt_id", "frame", F.get(S.pitch(16000)(F.col("x")), F.lit(0)).alias("f0"))
+
+
+@query()
+def formant_tones(spark, sf):
+    frames = sequence.framed(tones(spark), ["utt_id"], "x", 400, 200)
+    return frames.select("utt_id", "frame", S.formants(16000)(S.lpc(12)(F.col("x"))).alias("formants"))
+
+
+@query()
+def denoise_tones(spark, sf):
+    frames = sequence.framed(tones(spark), ["utt_id"], "x", 512, 128)
+    return S.overlap_add(S.spectral_subtraction(frames, ["utt_id"], 512, noise_frames=2), ["utt_id"], 512, 128)
+
+
+@query()
+def dtw_to_centroid(spark, sf):
+    return similarities(spark, sf).select("vec_id", r6(S.dtw_distance(V.doubles(F.col("embedding")), F.col("centroid"))).alias("distance"))
