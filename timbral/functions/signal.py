@@ -135,7 +135,9 @@ def pitch(rate: int, low: float = 75.0, high: float = 400.0, clarity: float = 0.
         a, b = int(rate / high), min(int(rate / low), x.shape[1] - 2)
         if b <= a + 1:
             return [[] for _ in x]
-        lag = r[:, a : b + 1].argmax(axis=1) + a
+        near, best = r[:, a : b + 1], r[:, a : b + 1].max(axis=1, keepdims=True)
+        peak = (near >= 0.9 * best) & (near >= r[:, a - 1 : b]) & (near >= r[:, a + 1 : b + 2])
+        lag = np.where(peak.any(axis=1), peak.argmax(axis=1), near.argmax(axis=1)) + a  # not a multiple of the period
         rows = np.arange(len(x))
         y0, y1, y2 = (r[rows, np.clip(lag + d, 0, r.shape[1] - 1)] for d in (-1, 0, 1))
         bend = y0 - 2 * y1 + y2
