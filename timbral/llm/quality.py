@@ -110,14 +110,19 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pooled(flat: np.ndarray, sizes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Each text's mean word vector and the logarithm of its length; zeros without tokens."""
+    """Each text's mean word vector, the lengths of its two halves, the share of words whose
+    vector is that of the word before, and the logarithm of its length; zeros without tokens."""
     sums = np.zeros((len(sizes), vectors.shape[1]), dtype=np.float64)
     text = np.repeat(np.arange(len(sizes)), sizes)
     for i in range(0, len(flat), BLOCK):
         owner = text[i : i + BLOCK]
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         sums[owner[first]] += np.add.reduceat(vectors[flat[i : i + BLOCK]], first, axis=0)
-    return np.column_stack([sums / np.maximum(sizes, 1)[:, None], np.log1p(sizes)]).astype(np.float32)
+    mean = sums / np.maximum(sizes, 1)[:, None]
+    same = (flat[1:] == flat[:-1]) & (text[1:] == text[:-1])
+    again = np.bincount(text[1:][same], minlength=len(sizes)) / np.maximum(sizes - 1, 1)
+    halves = [np.linalg.norm(mean[:, h], axis=1) for h in (slice(0, DIM), slice(DIM, None))]
+    return np.column_stack([mean, *halves, np.sqrt(again), np.log1p(sizes)]).astype(np.float32)
 
 
 class Network:
