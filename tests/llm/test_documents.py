@@ -202,29 +202,29 @@ def test_jpeg(spark, rows):
 def brute_ppm(train, texts):
     """log10 probabilities by the definition, symbol by symbol, with dictionaries."""
     body = lambda t: b" ".join(w.lower() for w in WORD.findall((t or "").encode())) + b"\n"
-    counts = {}
+    counts, most = {}, ppm.ORDER
     for t in train:
-        s = b"\n" * 4 + body(t)
-        for i in range(4, len(s)):
-            for k in range(5):
+        s = b"\n" * most + body(t)
+        for i in range(most, len(s)):
+            for k in range(most + 1):
                 counts.setdefault(s[i - k : i], Counter())[s[i]] += 1
     out = []
     for t in texts:
-        s, total = b"\n" * 4 + body(t), 0.0
-        for i in range(4, len(s)):
+        s, total = b"\n" * most + body(t), 0.0
+        for i in range(most, len(s)):
             gone, done = set(), False
-            for k in range(4, -1, -1):
+            for k in range(most, -1, -1):
                 c = counts.get(s[i - k : i])
                 if c is None:
                     continue
                 rest = {x: n for x, n in c.items() if x not in gone}
                 t_, d = sum(rest.values()), len(rest)
                 if s[i] in rest:
-                    total += np.log10(rest[s[i]] / (t_ + d))
+                    total += np.log10((2 * rest[s[i]] - 1) / (2 * t_))
                     done = True
                     break
                 if d:
-                    total += np.log10(d / (t_ + d))
+                    total += np.log10(d / (2 * t_))
                 gone |= set(c)
             if not done:
                 total -= np.log10(256 - len(gone))
@@ -237,6 +237,7 @@ def test_ppm(spark, rows, monkeypatch, held):
     import zlib
 
     monkeypatch.setattr(ppm, "HELD_GRAMS", held)
+    assert ppm.BLOCK << 8 * (ppm.ORDER + 1) == 1 << 64
     monkeypatch.setattr(ppm, "HOT_WORDS", 5)
     rows = [r for r in rows if r[0] not in (200, 201)]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1

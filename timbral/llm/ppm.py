@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 
 from timbral.llm.shared import discard, settle, slices, text_bytes
 
-ORDER = 4
-#: Positions handled at once: a gram's 40 bits and a position's 22 share one sorted integer.
-BLOCK = 1 << 22
+ORDER = 5
+#: Bits of a position within a block: they share one sorted integer with a gram's bits.
+PLACE = 64 - 8 * (ORDER + 1)
+BLOCK = 1 << PLACE
 #: Distinct words that a task counts before it hands its counts on.
 WORDS_HELD = 300_000
 #: The most frequent words go to every task; all others are joined.
 HOT_WORDS = 1 << 18
 #: A table of up to this many grams (12 bytes each) goes to every task; a larger one is joined.
-HELD_GRAMS = 1 << 22
+HELD_GRAMS = 3 << 21
 END = b"\n"
 SEED = 42
 GRAM, WORD = 0, 1
@@ -152,7 +153,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
 
     The trie is a table per order, made from the trained counts of the next. Coding starts at
     the longest context that training met. A context with total T and d symbols codes a symbol
-    that followed it c times with c / (T + d), and escapes with d / (T + d) (method C). After an
+    that followed it c times with (2c - 1) / 2T, and escapes with d / 2T (method D). After an
     escape the symbols of the longer context are excluded from T and d; they are among those of
     the shorter one, so a context pair's excluded sums fit in one row. A symbol never met is
     one of 256 - d at the root.
@@ -175,7 +176,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
         rows = rows.join(_bounded(hit, j + 1), "k", "left").join(_bounded(stats, j), "x", "left")
         # et, ed: what the longer context's symbols make up of this context's t and d
         t, d = F.col("t") - F.coalesce("et", F.lit(0)), F.col("d") - F.coalesce("ed", F.lit(0))
-        step = F.when(F.col("c").isNotNull(), F.log10(F.col("c") / (t + d))).when(F.col("t").isNull() | (t + d == 0), 0.0).otherwise(F.log10(d / (t + d)))
+        step = F.when(F.col("c").isNotNull(), F.log10((2 * F.col("c") - 1) / (2 * t))).when(F.col("t").isNull() | (t == 0), 0.0).otherwise(F.log10(d / (2 * t)))
         rows = rows.select("key", F.when(F.col("done"), F.col("logp")).otherwise(F.col("logp") + step).alias("logp"), (F.col("done") | F.col("c").isNotNull()).alias("done"))
         if j:
             shorter = seen[j].select(F.col("key").bitwiseAND(mask >> 8).alias("k"), context.alias("y"))
@@ -195,8 +196,8 @@ def _looked_up(keys: np.ndarray, table: np.ndarray, logp: np.ndarray) -> np.ndar
     out = np.empty(len(keys))
     for i in range(0, len(keys), BLOCK):
         block = keys[i : i + BLOCK]
-        packed = np.sort(block << np.uint64(22) | np.arange(len(block), dtype=np.uint64))
-        sorted_keys = packed >> np.uint64(22)
+        packed = np.sort(block << np.uint64(PLACE) | np.arange(len(block), dtype=np.uint64))
+        sorted_keys = packed >> np.uint64(PLACE)
         first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
         found = logp[np.searchsorted(table, sorted_keys[first])]
         out[i + (packed & np.uint64(BLOCK - 1)).astype(np.int64)] = np.repeat(found, np.diff(np.r_[first, len(block)]))
