@@ -103,3 +103,51 @@ def pick_device(devices: DataFrame, channels: int, rate: int, order: str = "inde
     """The first device with channels and rate enough; else the first of all."""
     fits = (F.col("max_channels") >= channels) & (F.col("sample_rate") >= rate)
     return devices.orderBy(F.desc(fits), order).limit(1)
+
+
+def spectral_deviation(cells: DataFrame, group: str, frame: str, bin_col: str, value: str) -> DataFrame:
+    """(group, deviation): mean over frames of 1 - max(0, correlation with the group's mean
+    spectrum)."""
+    mean = cells.groupBy(group, bin_col).agg(F.avg(value).alias("mean"))
+    corr = cells.join(mean, [group, bin_col]).groupBy(group, frame).agg(F.corr("mean", value).alias("r"))
+    return corr.groupBy(group).agg(F.avg(1 - F.greatest(F.lit(0.0), F.col("r"))).alias("deviation"))
+
+
+def background_noise(cells: DataFrame, group: str, frame: str, bin_col: str, value: str) -> DataFrame:
+    """(group, level, slope, consistency): mean and slope over the bins (from 0 to 1) of each
+    bin's 10th percentile over time; 1 less the frame minima's deviation over their mean."""
+    floor = cells.groupBy(group, bin_col).agg(F.percentile(value, F.lit(0.1)).alias("p"))
+    whole = Window.partitionBy(group)
+    shaped = floor.withColumn("at", F.col(bin_col) / (F.max(bin_col).over(whole) + 1))
+    bins = shaped.groupBy(group).agg(F.avg("p").alias("level"), F.regr_slope("p", "at").alias("slope"))
+    lows = cells.groupBy(group, frame).agg(F.min(value).alias("low")).groupBy(group)
+    steady = lows.agg((1 - F.try_divide(F.stddev_pop("low"), F.abs(F.avg("low")))).alias("consistency"))
+    return bins.join(steady, group)
+
+
+def track_statistics(track: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean, population deviation and median of a track, and of its steps; nulls are gaps."""
+    rows = track.withColumn("step", F.col(value) - F.lag(value).over(_by(keys)))
+    return rows.groupBy(*keys).agg(
+        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.median(value).alias("median"), F.avg("step").alias("step_mean"), F.stddev_pop("step").alias("step_std"),
+    )
+
+
+def median_smooth(track: DataFrame, keys: list[str], value: str, width: int = 5) -> DataFrame:
+    """The median of `width` centred rows, with zeros beyond the ends."""
+    half = width // 2
+    near = F.collect_list(F.coalesce(value, F.lit(0.0))).over(_by(keys).rowsBetween(-half, half))
+    padded = F.concat(near, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(near)))
+    return track.withColumn("smooth", F.get(F.array_sort(padded), F.lit(half)))
+
+
+def attention_fusion(scores: list[Column], logits: list[Column]) -> Column:
+    """Scores weighted by the softmax of their logits."""
+    return V.let(V.softmax(F.array(*logits)), lambda w: V.dot(w, F.array(*scores)))
+
+
+def speech_bounds(frames: DataFrame, keys: list[str], rms: str, top_db: float = 20.0) -> DataFrame:
+    """(keys, first, last) frames within top_db of the loudest."""
+    peak = F.max(rms).over(Window.partitionBy(*keys))
+    loud = frames.withColumn("peak", peak).where(F.col(rms) > F.col("peak") * 10 ** (-top_db / 20))
+    return loud.groupBy(*keys).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))

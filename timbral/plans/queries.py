@@ -739,3 +739,51 @@ def denoise_tones(spark, sf):
 @query()
 def dtw_to_centroid(spark, sf):
     return similarities(spark, sf).select("vec_id", r6(S.dtw_distance(V.doubles(F.col("embedding")), F.col("centroid"))).alias("distance"))
+
+
+@query(f"""with {CELLS}, m as (select label, i, avg(abs(v)) as mean from cells group by 1, 2), c as (select c.label, c.vec_id, corr(mean, abs(v)) as r from cells c join m on c.label = m.label and c.i = m.i group by 1, 2)
+select label, round(avg(1 - greatest(0, r)), 6) as deviation from c group by 1""")
+def spectral_deviation(spark, sf):
+    cells = verification.components(table(spark, sf, "embeddings"), ["label", "vec_id"], "embedding").withColumn("m", F.abs("v"))
+    return liveness.spectral_deviation(cells, "label", "vec_id", "i", "m").select("label", r6("deviation").alias("deviation"))
+
+
+@query(f"""with {CELLS}, p as (select label, i, quantile_cont(abs(v), 0.1) as p from cells group by 1, 2), b as (select label, avg(p) as level, regr_slope(p, i / 64.0::double) as slope from p group by 1),
+l as (select label, vec_id, min(abs(v)) as low from cells group by 1, 2), s as (select label, 1 - stddev_pop(low) / abs(avg(low)) as consistency from l group by 1)
+select label, round(level, 6) as level, round(slope, 6) as slope, round(consistency, 6) as consistency from b join s using (label)""")
+def background_noise(spark, sf):
+    cells = verification.components(table(spark, sf, "embeddings"), ["label", "vec_id"], "embedding").withColumn("m", F.abs("v"))
+    found = liveness.background_noise(cells, "label", "vec_id", "i", "m")
+    return found.select("label", *[r6(c).alias(c) for c in ("level", "slope", "consistency")])
+
+
+@query(f"""with {SIG}, d as (select *, x - lag(x) over (partition by user_id order by i) as step from sig)
+select user_id, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, round(median(x), 6) as median, round(avg(step), 6) as step_mean, round(stddev_pop(step), 6) as step_std from d group by 1""")
+def track_statistics(spark, sf):
+    found = liveness.track_statistics(signal(spark, sf), ["user_id"], "x")
+    return found.select("user_id", *[r6(c).alias(c) for c in ("mean", "std", "median", "step_mean", "step_std")])
+
+
+@query(f"""with {SIG}, n as (select event_id, list_concat(array_agg(x) over w, list_value(0.0, 0.0)) as l, count(*) over w as c from sig window w as (partition by user_id order by i rows between 2 preceding and 2 following))
+select event_id, round(list_sort(l[1:5])[3], 6) as smooth from n""")
+def median_smooth(spark, sf):
+    return liveness.median_smooth(signal(spark, sf), ["user_id"], "x").select("event_id", r6("smooth").alias("smooth"))
+
+
+@query(f"""with {PIVOT} select user_id, round((breathing * exp(resonance) + spectrum * exp(environment)) / (exp(resonance) + exp(environment)), 6) as fused from piv where {COMPLETE}""")
+def attention_fusion(spark, sf):
+    c = F.col
+    fused = liveness.attention_fusion([c("breathing"), c("spectrum")], [c("resonance"), c("environment")])
+    return component_scores(spark, sf).select("user_id", r6(fused).alias("fused"))
+
+
+@query(f"""with {FRAMES}, p as (select *, max(rms) over (partition by user_id) as peak from frames) select user_id, min(frame) as first, max(frame) as last from p where rms > peak * power(10, -0.3::double) group by 1""")
+def trim_silence(spark, sf):
+    found = liveness.speech_bounds(sequence.frame_levels(signal(spark, sf), ["user_id"], "x", 8, 4), ["user_id"], "rms", 6.0)
+    return found.select("user_id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+
+
+@query("select event_type, count(*) as n, round(avg(value), 6) as mean, min(value) as low, max(value) as high from events group by 1")
+def performance_stats(spark, sf):
+    events = table(spark, sf, "events")
+    return events.groupBy("event_type").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
