@@ -10,6 +10,21 @@ from timbral.functions import vectors as V
 #: Weights of the liveness components.
 LIVENESS_WEIGHTS = {"breathing": 0.15, "micro_modulation": 0.2, "resonance": 0.2, "environment": 0.25, "spectrum": 0.2}
 
+#: The sentences of an explanation, by the least score that they hold for.
+ACCEPTED = ("Authentication successful.", "All security checks passed.")
+REFUSED = (
+    "Authentication failed.",
+    "Voice does not match enrolled user.",
+    "Voice may be synthetic or manipulated.",
+    "Authentication blocked due to security anomalies.",
+    "Authentication blocked due to unusual access pattern.",
+    "Multiple security factors did not meet required thresholds.",
+)
+VOICE = ((0.7, "Voice similarity is very high (%.3f)."), (0.5, "Voice similarity is good (%.3f)."), (float("-inf"), "Voice similarity is low (%.3f)."))
+AUTHENTIC = ((0.8, "Voice authenticity is very high (%.3f)."), (0.5, "Voice authenticity is acceptable (%.3f)."), (float("-inf"), "Voice authenticity is questionable (%.3f)."))
+ODD = ((3.0, "Significant anomalies detected (%.3f)."), (1.0, "Minor anomalies detected (%.3f)."))
+PATTERN = ((3.0, "Unusual authentication pattern detected (%.3f)."), (1.0, "Slightly unusual authentication pattern (%.3f)."))
+
 
 def components(rows: DataFrame, keys: list[str], vec: str) -> DataFrame:
     """One row per vector component: keys, i, v."""
@@ -87,32 +102,27 @@ def liveness(scores: dict[str, Column], threshold: float = 0.7) -> Column:
     return F.struct(score.alias("score"), (score >= threshold).alias("is_live"), V.clamp(confidence).alias("confidence"))
 
 
+def _tiered(tiers: tuple[tuple[float, str], ...], score: Column) -> Column:
+    """The text of the first tier whose bound the score reaches; null if none."""
+    out = F.lit(None).cast("string")
+    for bound, text in reversed(tiers):
+        out = F.when(score >= bound, F.format_string(text, score) if "%" in text else F.lit(text)).otherwise(out)
+    return out
+
+
 def explanation(similarity: Column, spoof: Column, anomaly: Column, sequence: Column, accepted: Column) -> Column:
     """The sentences that explain a decision. A null spoof score, and anomaly or sequence
-    scores of 0, have no sentence."""
-    shown = lambda text, c: F.format_string(text, c)
-    outcome = F.when(accepted, "Authentication successful.").otherwise("Authentication failed.")
-    voice = (
-        F.when(similarity >= 0.7, shown("Voice similarity is very high (%.3f).", similarity))
-        .when(similarity >= 0.5, shown("Voice similarity is good (%.3f).", similarity))
-        .otherwise(shown("Voice similarity is low (%.3f).", similarity))
-    )
-    authentic = (
-        F.when(spoof >= 0.8, shown("Voice authenticity is very high (%.3f).", spoof))
-        .when(spoof >= 0.5, shown("Voice authenticity is acceptable (%.3f).", spoof))
-        .when(spoof.isNotNull(), shown("Voice authenticity is questionable (%.3f).", spoof))
-    )
-    odd = F.when(anomaly >= 3.0, shown("Significant anomalies detected (%.3f).", anomaly)).when(anomaly >= 1.0, shown("Minor anomalies detected (%.3f).", anomaly))
-    pattern = F.when(sequence >= 3.0, shown("Unusual authentication pattern detected (%.3f).", sequence)).when(sequence >= 1.0, shown("Slightly unusual authentication pattern (%.3f).", sequence))
+    scores of 0, have no sentence. Scores are not negative."""
+    outcome = F.when(accepted, ACCEPTED[0]).otherwise(REFUSED[0])
     reason = (
-        F.when(accepted, "All security checks passed.")
-        .when(similarity < 0.5, "Voice does not match enrolled user.")
-        .when(spoof < 0.5, "Voice may be synthetic or manipulated.")
-        .when(anomaly >= 3.0, "Authentication blocked due to security anomalies.")
-        .when(sequence >= 3.0, "Authentication blocked due to unusual access pattern.")
-        .otherwise("Multiple security factors did not meet required thresholds.")
+        F.when(accepted, ACCEPTED[1])
+        .when(similarity < 0.5, REFUSED[1])
+        .when(spoof < 0.5, REFUSED[2])
+        .when(anomaly >= 3.0, REFUSED[3])
+        .when(sequence >= 3.0, REFUSED[4])
+        .otherwise(REFUSED[5])
     )
-    return F.concat_ws(" ", outcome, voice, authentic, odd, pattern, reason)
+    return F.concat_ws(" ", outcome, _tiered(VOICE, similarity), _tiered(AUTHENTIC, spoof), _tiered(ODD, anomaly), _tiered(PATTERN, sequence), reason)
 
 
 def factors(similarity: Column, spoof: Column, anomaly: Column, sequence: Column) -> Column:
