@@ -212,6 +212,20 @@ def _sorted_arrays(rows: DataFrame, value: str, kind: type) -> tuple[np.ndarray,
     return keys[order], found.column(value).to_numpy()[order].astype(kind)
 
 
+def _hot_from(words: DataFrame) -> int:
+    """The least count of words so frequent that there are HOT_WORDS of them at most. Counts are
+    told apart by eighths of a power of two, so a few hundred sums decide and nothing is sorted."""
+    class_ = F.floor(F.log2("train") * 8)
+    classes = words.groupBy(class_.alias("class")).agg(F.count("*").alias("n"), F.min("train").alias("least")).collect()
+    found, least = 0, 1 << 62
+    for c in sorted(classes, key=lambda c: -c["class"]):
+        found += c["n"]
+        if found > HOT_WORDS:
+            break
+        least = c["least"]
+    return least
+
+
 def ppm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score
     and score.
@@ -230,7 +244,7 @@ def ppm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     counts = gather(wanted)
     scores = gram_scores(counts.grams)
     total, distinct = counts.words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count("*")).first()
-    hot = counts.words.orderBy(F.desc("train"), "key").limit(HOT_WORDS)
+    hot = counts.words.where(F.col("train") >= _hot_from(counts.words))
     held = scores.count() <= HELD_GRAMS
     sent = spark.sparkContext.broadcast((_sorted_arrays(hot, "train", np.int64), _sorted_arrays(scores, "logp", np.float32) if held else None))
     below = np.log10(total + 0.5 * (distinct + 1))
