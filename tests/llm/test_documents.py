@@ -116,6 +116,8 @@ def test_fit_budget():
         budget = int(rng.integers(0, (lengths * counts).sum() + 1))
         k = mixing.fit_budget(lengths, counts, budget, 1)
         assert (k >= 0).all() and (k <= counts).all()
+        mixed = rng.permutation(len(lengths))
+        assert (mixing.fit_budget(lengths[mixed], counts[mixed], budget, 1) == k[mixed]).all()
         if len(lengths) > 30:
             assert abs((k * lengths).sum() - budget) <= lengths.min()
     assert mixing.fit_budget(np.array([7]), np.array([1]), 6).tolist() == [1]

@@ -29,9 +29,15 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
     Takes of each length its share of the budget, rounded by a seeded number, and gives back
     or adds in seeded order, until DP_TOKENS / 2 or more, and about DP_TOKENS at most, are missing.
     That rest is a bounded knapsack: reachable sums as bits, each length's leftover count in
-    powers of two, walked back from the sum that comes nearest.
+    powers of two, walked back from the sum that comes nearest. The order in which the lengths
+    come in makes no difference.
     """
     lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
+    rising = np.argsort(lengths, kind="stable")
+    if (np.diff(rising) < 0).any():
+        out = np.zeros_like(counts)
+        out[rising] = fit_budget(lengths[rising], counts[rising], budget, seed)
+        return out
     total = int((lengths * counts).sum())
     budget = min(max(0, int(budget)), total)
     if not total or not budget:
