@@ -87,6 +87,42 @@ def test_simhash(spark, rows, monkeypatch, dense):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("stars", [0, 2])
+def test_similar_documents(spark, rows, monkeypatch, stars):
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "STARS", stars)
+    rng = random.Random(8)
+    copies = []
+    for g in range(12):
+        body = [f"v{rng.randint(0, 10**6)}" for _ in range(300)]
+        copies.append((1000 + 10 * g, " ".join(body), "s"))
+        for i, changes in enumerate((1, 2, 3, 4, 5, 6, 7, 9), 1):  # similarities from 0.97 to 0.74
+            other = list(body)
+            for at in rng.sample(range(5, 290, 10), changes):
+                other[at] = f"n{rng.randint(0, 10**6)}"
+            copies.append((1000 + 10 * g + i, " ".join(other), "s"))
+    rows = [*copies, *[r for r in rows if r[0] != 5]]
+    sets = {}
+    for i, t, _ in rows:
+        words = [w.lower() for w in WORD.findall((t or "").encode())]
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    ids = sorted(i for i in sets if i is not None)
+    near = [(a, b) for a in ids for b in ids if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    group, changed = {i: i for i in ids}, True
+    while changed:
+        changed = False
+        for a, b in near:
+            low = min(group[a], group[b])
+            changed |= group[a] != low or group[b] != low
+            group[a] = group[b] = low
+    got = simhash.similar_documents(docs_of(spark, rows)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got if r.doc_id is not None} == group
+    kept = corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), "").collect()
+    assert {r.doc_id for r in kept} == {i for i in ids if group[i] == i} | {None}
+    assert simhash.similar_documents(docs_of(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 def test_lines(spark, rows, batches):
     rows = [r for r in rows if r[0] != 5] + [(5, "ONE two", "a")]
