@@ -237,6 +237,23 @@ def test_jpeg(spark, rows):
     assert jpeg.media_features(docs_of(spark, [])).count() == 0
 
 
+def test_jpeg_geometry(monkeypatch):
+    full = jpeg.DOWN * 8 * 6
+    assert jpeg._written(48 * 8)[:2] == (128, 128) and jpeg._written(full)[:2] == (128, 65520)
+    for blocks in (full + 1, 3 * full, (2**31 - 1) // 64 + 9):
+        g = jpeg._written(blocks)
+        assert g.width <= 65535 and g.height <= 65535 and g.mcus[0] * g.mcus[1] * 6 >= blocks
+        assert jpeg._head(g, blocks * 64)
+    jpeg._written.cache_clear()
+    monkeypatch.setattr(jpeg, "DOWN", 3)
+    rng = np.random.default_rng(4)
+    payloads = [jpeg.payload_of(rng.integers(0, 255, n, dtype=np.uint8).tobytes()) for n in (9000, 9216, 9217, 50000)]
+    images, coef, starts = jpeg.coefficients(jpeg.encode(payloads))
+    assert max(x.frame.width for x in images) > 128 and max(x.frame.height for x in images) == 48
+    assert [jpeg.stored_payload(x, coef[starts[i] : starts[i + 1]]) for i, x in enumerate(images)] == payloads
+    jpeg._written.cache_clear()
+
+
 def brute_ppm(train, texts):
     """log10 probabilities by the definition, symbol by symbol, with dictionaries."""
     body = lambda t: b" ".join(w.lower() for w in WORD.findall((t or "").encode())) + b"\n"

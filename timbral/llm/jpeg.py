@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from timbral.llm.shared import free_name, slices, text_bytes
 
 UNIT = 576
-#: MCUs in a row of a written image, and MCUs between restart markers.
+#: MCUs in a row of a written image unless it gets too high, and MCUs between restart markers.
 ACROSS, RESTART = 8, 8
+#: MCUs of 16 samples that fit below each other: a frame's sizes are 16-bit numbers.
+DOWN = 4095
 #: Payload bytes whose blocks are coded at once, unless one text has more.
 SLICE = 4 << 20
 
@@ -116,9 +118,11 @@ def _order(g: Geometry, which: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray,
 
 @lru_cache(maxsize=4096)
 def _written(blocks: int) -> Geometry:
-    """The 4:2:0 frame that holds so many blocks."""
+    """The 4:2:0 frame that holds so many blocks: rows of ACROSS MCUs, or of more, a multiple of
+    RESTART, beyond DOWN rows. Its most, DOWN x 4,088 MCUs, hold 6.4 GB; a value of a table has
+    2 GB at most, so one frame is always enough."""
     mcus = -(-blocks // 6)
-    across = min(mcus, ACROSS)
+    across = min(mcus, max(ACROSS, -(-mcus // (DOWN * RESTART)) * RESTART))
     return Geometry(16 * across, 16 * -(-mcus // across), (Component(1, 2, 2, 0), Component(2, 1, 1, 0), Component(3, 1, 1, 0)))
 
 
