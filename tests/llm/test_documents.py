@@ -343,6 +343,28 @@ def test_chains():
     assert [b[:2] for b in best] == [(0, 0), (20, 23)]
 
 
+def test_chains_after_a_long_passage():
+    long, near = np.arange(100), np.array([300, 304, 308, 330, 334, 338])
+    x, y = np.r_[long, near], np.r_[long, near[:3], near[3:] + 1]  # a word stands between on one side
+    got = [[b[:2] for b in c] for c in passages.chains(x, y)]
+    assert sorted(got) == [[(0, 0)], [(300, 300), (330, 331)]]
+    rng = np.random.default_rng(6)
+    for _ in range(50):  # best scores against all pairs of blocks
+        x, y = (np.sort(rng.integers(0, 300, 60)) for _ in range(2))
+        y = np.clip(x + rng.choice([-9, 0, 4, 150], 60), 0, None)
+        x, y = np.unique(np.stack([x, y]), axis=1)
+        cut = passages._edges(x - y, np.cumsum(np.r_[True, np.diff(x) > passages.GAP]))
+        ends = np.r_[cut[1:], len(x)] - 1
+        blocks = [(int(x[a]), int(y[a]), int(x[e]) + passages.K, int(y[e]) + passages.K, int(e - a + 1)) for a, e in zip(cut, ends, strict=True)]
+        score = {}
+        for b in sorted(blocks):
+            before = [score[c] - passages.GAP_COST * (b[0] - c[2] + b[1] - c[3]) for c in score if 0 <= b[0] - c[2] <= passages.GAP and 0 <= b[1] - c[3] <= passages.GAP]
+            score[b] = b[4] + max([0.0, *before])
+        best = passages.chains(x, y)[0]
+        cost = passages.GAP_COST * sum(q[0] - p[0] - p[2] + q[1] - p[1] - p[2] for p, q in zip(best, best[1:], strict=False))
+        assert abs(sum(b[3] for b in best) - cost - max(score.values())) < 1e-9
+
+
 def test_quality(spark):
     import zlib
 
