@@ -353,9 +353,11 @@ def test_chains_after_a_long_passage():
         x, y = (np.sort(rng.integers(0, 300, 60)) for _ in range(2))
         y = np.clip(x + rng.choice([-9, 0, 4, 150], 60), 0, None)
         x, y = np.unique(np.stack([x, y]), axis=1)
-        cut = passages._edges(x - y, np.cumsum(np.r_[True, np.diff(x) > passages.GAP]))
-        ends = np.r_[cut[1:], len(x)] - 1
-        blocks = [(int(x[a]), int(y[a]), int(x[e]) + passages.K, int(y[e]) + passages.K, int(e - a + 1)) for a, e in zip(cut, ends, strict=True)]
+        by = np.lexsort((x, x - y))
+        u, v = x[by], y[by]
+        cut = passages._edges(u - v, np.cumsum(np.r_[True, np.diff(u) > passages.GAP]))
+        ends = np.r_[cut[1:], len(u)] - 1
+        blocks = [(int(u[a]), int(v[a]), int(u[e]) + passages.K, int(v[e]) + passages.K, int(e - a + 1)) for a, e in zip(cut, ends, strict=True)]
         score = {}
         for b in sorted(blocks):
             before = [score[c] - passages.GAP_COST * (b[0] - c[2] + b[1] - c[3]) for c in score if 0 <= b[0] - c[2] <= passages.GAP and 0 <= b[1] - c[3] <= passages.GAP]
@@ -365,6 +367,20 @@ def test_chains_after_a_long_passage():
         assert abs(sum(b[3] for b in best) - cost - max(score.values())) < 1e-9
 
 
+def test_passages_with_few_seeds(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    rows = []
+    for i in range(0, 40, 2):
+        shared = [word() for _ in range(60)]
+        changed = list(shared)
+        for at in range(8 + i % 3, 52, 5):  # nine of 60, one word in five: seeds stay at the ends only
+            changed[at] = word()
+        rows += [(i, " ".join([word() for _ in range(30)] + shared), "s"), (i + 1, " ".join(changed + [word() for _ in range(30)]), "s")]
+    got = passages.substring_dedup(docs_of(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(i + 1, i) for i in range(0, 40, 2)}
+
+
 def test_quality(spark):
     import zlib
 
