@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014) until nothing
     changes; each step replaces links by links to the smallest neighbour, so a path of n nodes
-    takes O(log n) rounds in practice. A round groups by node with map-side minima and joins
-    the minima back; AQE splits the join of a hot node. Every round is a written table.
+    takes O(log n) rounds in practice. A round groups by node with map-side minima, writes the
+    minima and joins them back: both sides of such a join are plain shuffles, so AQE splits a
+    hub's. Every round is a written table.
 
     Links with a null end and loops say nothing and are left out. No links: no rows.
     """
@@ -28,14 +29,15 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     seen = _digest(now)
     while seen[0]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        smallest = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = settle(large, "large")
+        smallest = settle(large.groupBy("hi").agg(F.min("lo").alias("m")), "smallest")
         small = large.join(smallest, "hi").select(
             F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("x")
         )
         new = settle(small.select("x.hi", "x.lo").where("hi != lo").distinct(), "links")
-        discard(now)
+        discard(now, least, large, smallest)
         now, before, seen = new, seen, _digest(new)
         if seen == before:
             break
