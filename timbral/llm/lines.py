@@ -11,6 +11,9 @@ from timbral.llm.shared import ASCII_SPACE, ascii_lower, discard, free_name, new
 
 #: Runs of one level that are compacted into one run of the next.
 FANOUT = 2
+#: Keys with more than a HOT-th of all documents' distinct lines, so fewer than HOT keys, go to
+#: every task instead of being joined with what is shuffled by key.
+HOT = 10_000
 
 
 def line_key(line: Column) -> Column:
@@ -94,10 +97,10 @@ class LineRuns:
         return rows
 
     def repeated(self) -> DataFrame:
-        """(h1, h2, keeper) of the keys found in min_docs documents at least."""
+        """(h1, h2, n_docs, keeper) of the keys found in min_docs documents at least."""
         runs = [r for level in self.levels for r in level]
         rows = self._merged(runs) if len(runs) > 1 else self.spark.table(runs[0])
-        return rows.where(F.col("n_docs") >= self.min_docs).select("h1", "h2", "keeper")
+        return rows.where(F.col("n_docs") >= self.min_docs)
 
     def close(self) -> None:
         for run in list(self.paths):
@@ -127,7 +130,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = LineRuns(spark, min_docs)
     for i in range(max(1, batches)):
         runs.add(lines.where(F.col("batch") == i))
-    drops = lines.join(runs.repeated(), ["h1", "h2"]).where("doc != keeper").groupBy("doc", "t").agg(F.collect_set("pos").alias("gone"))
+    repeated = runs.repeated()
+    total = repeated.agg(F.sum("n_docs")).first()[0] or 0
+    hot = F.broadcast(settle(repeated.where(F.col("n_docs") > total / HOT), "line-hot"))
+    others = lines.join(hot, ["h1", "h2"], "left_anti").join(repeated.where(F.col("n_docs") <= total / HOT), ["h1", "h2"])
+    drops = lines.join(hot, ["h1", "h2"]).unionByName(others).where("doc != keeper").groupBy("doc", "t").agg(F.collect_set("pos").alias("gone"))
     drops = settle(drops.select(F.col("doc").alias("__doc"), F.col("t").alias("__t"), F.col("gone").alias("__gone")), "line-drops")
     runs.close()
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(hashed)

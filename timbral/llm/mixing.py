@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timbral.llm.shared import free_name, settle
 
-#: Budgets up to this many tokens are fitted by dynamic programming over the leftover documents.
+#: Tokens that are fitted by dynamic programming at first.
 DP_TOKENS = 8192
 #: Documents of one length whose seeded order is looked up in one group.
 BUCKET = 1000
@@ -27,10 +27,13 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
     """How many documents of each length to take so that their lengths sum up to near budget.
 
     Takes of each length its share of the budget, rounded by a seeded number, and gives back
-    or adds in seeded order, until DP_TOKENS / 2 or more, and about DP_TOKENS at most, are missing.
-    That rest is a bounded knapsack: reachable sums as bits, each length's leftover count in
-    powers of two, walked back from the sum that comes nearest. The order in which the lengths
-    come in makes no difference.
+    or adds in seeded order, until half of a window or more, and about a window at most, is
+    missing. That rest is a bounded knapsack over sums in steps of the lengths' common divisor:
+    for each sum the step that first reached it, each length's leftover count in powers of two,
+    walked back from the sum that comes nearest. The first window has DP_TOKENS; where that does
+    not meet the budget it grows to four times the longest document, so that documents of every
+    length are among those chosen anew. The order in which the lengths come in makes no
+    difference.
     """
     lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     rising = np.argsort(lengths, kind="stable")
@@ -56,45 +59,53 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
         back = min(int(take[i]), -(missing // int(lengths[i])))
         take[i] -= back
         missing += back * int(lengths[i])
+    window, best = DP_TOKENS, None
+    while True:
+        found = _knapsack(lengths, counts, take, missing, order, window)
+        short = abs(budget - int((found * lengths).sum()))
+        if best is None or short < best[0]:
+            best = short, found
+        if not short or window >= 4 * lengths.max():
+            return best[1]
+        window *= 4
+
+
+def _knapsack(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, missing: int, order: np.ndarray, window: int) -> np.ndarray:
+    """take, changed in about `window` tokens so that the missing ones come as near 0 as can be."""
+    take = take.copy()
     for i in order:
-        if missing <= DP_TOKENS:
+        if missing <= window:
             break
-        more = min(int(counts[i] - take[i]), (missing - DP_TOKENS // 2) // int(lengths[i]))
+        more = min(int(counts[i] - take[i]), (missing - window // 2) // int(lengths[i]))
         if more > 0:
             take[i] += more
             missing -= more * int(lengths[i])
     for i in order[::-1]:  # documents to choose anew, so that the knapsack has a choice
-        if missing >= DP_TOKENS // 2:
+        if missing >= window // 2:
             break
-        back = min(int(take[i]), -(-(DP_TOKENS // 2 - missing) // int(lengths[i]))) if lengths[i] <= DP_TOKENS // 2 else 0
+        back = min(int(take[i]), -(-(window // 2 - missing) // int(lengths[i]))) if lengths[i] <= window // 2 else 0
         take[i] -= back
         missing += back * int(lengths[i])
-    left = counts - take
-    small = np.flatnonzero((left > 0) & (lengths <= 2 * max(missing, 1)) & (lengths <= 2 * DP_TOKENS))
-    most = min(2 * missing, 2 * DP_TOKENS)
-    mask = (1 << (most + 1)) - 1
-    reach, steps = 1, []
-    for i in small:
-        if reach >> missing & 1:
-            break
-        n, power = min(int(left[i]), most // int(lengths[i])), 1
-        while n > 0:
+    left, unit = counts - take, int(np.gcd.reduce(lengths))
+    goal = missing / unit
+    most, whole = int(2 * goal), missing // unit if missing % unit == 0 else -1
+    reach, steps = np.full(most + 1, -1, dtype=np.int32), []  # the step that first reached a sum
+    reach[0] = 0
+    for i in np.flatnonzero((left > 0) & (lengths <= most * unit)):
+        n, power = min(int(left[i]), most * unit // int(lengths[i])), 1
+        while n > 0 and (whole < 0 or reach[whole] < 0):
             size = min(power, n)
-            steps.append((int(i), size, reach))
-            reach |= (reach << size * int(lengths[i])) & mask
+            steps.append((int(i), size))
+            by = size * int(lengths[i]) // unit
+            new = np.flatnonzero((reach[by:] < 0) & (reach[: most + 1 - by] >= 0)) + by
+            reach[new] = len(steps)
             n, power = n - size, power * 2
-    low = (reach & ((1 << (missing + 1)) - 1)).bit_length() - 1
-    above = reach >> missing
-    high = missing + (above & -above).bit_length() - 1 if above else None
-    at = high if high is not None and high - missing < missing - low else low
-    for i, size, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += size
-            at -= size * int(lengths[i])
-    missing = budget - int((take * lengths).sum())
-    bigger = np.flatnonzero((counts > take) & (lengths < 2 * missing))
-    if missing > 0 and len(bigger):
-        take[bigger[np.abs(lengths[bigger] - missing).argmin()]] += 1
+    sums = np.flatnonzero(reach >= 0)
+    at = int(sums[np.abs(sums - goal).argmin()])  # of two that are as near, the lower
+    while at > 0:
+        i, size = steps[reach[at] - 1]
+        take[i] += size
+        at -= size * int(lengths[i]) // unit
     return take
 
 

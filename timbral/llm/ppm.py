@@ -22,8 +22,8 @@ BLOCK = 1 << PLACE
 WORDS_HELD = 300_000
 #: The most frequent words go to every task; all others are joined.
 HOT_WORDS = 1 << 18
-#: A table of up to this many grams (12 bytes each) goes to every task; a larger one is joined.
-HELD_GRAMS = 3 << 21
+#: A table of up to this many grams (16 bytes each) goes to every task; a larger one is joined.
+HELD_GRAMS = 9 << 19
 END = b"\n"
 SEED = 42
 GRAM, WORD = 0, 1
@@ -246,7 +246,7 @@ def ppm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     total, distinct = counts.words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count("*")).first()
     hot = counts.words.where(F.col("train") >= _hot_from(counts.words))
     held = scores.count() <= HELD_GRAMS
-    sent = spark.sparkContext.broadcast((_sorted_arrays(hot, "train", np.int64), _sorted_arrays(scores, "logp", np.float32) if held else None))
+    sent = spark.sparkContext.broadcast((_sorted_arrays(hot, "train", np.int64), _sorted_arrays(scores, "logp", np.float64) if held else None))
     below = np.log10(total + 0.5 * (distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -199,12 +199,13 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality") -> Network:
     """The network for features() rows joined with labels (doc_id, label), rows held out and
-    null labels left out. Of more than MOST_LABELLED rows it takes those with the smallest
-    seeded hash."""
-    known = labels.where(F.col(label_col).isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", F.col(label_col).cast("int").alias("y"))
+    null labels left out. Of more than MOST_LABELLED distinct labelled rows it takes those with
+    the smallest seeded hash. Of rows that share an id, one is fitted on, that with the least
+    features, so no more rows come to the driver than labels."""
+    known = labels.where(F.col(label_col).isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", F.col(label_col).cast("int").alias("y")).distinct()
     order = F.xxhash64(F.lit(SEED), "doc_id")
     sample = known.orderBy(order, "doc_id", "y").limit(MOST_LABELLED)
-    found = rows.join(sample, "doc_id").select("doc_id", "x", "y").toArrow()
+    found = rows.join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("doc_id", "x", "y").toArrow()
     y = found.column("y").to_numpy() if len(found) else np.zeros(0)
     x = found.column("x").combine_chunks().flatten().to_numpy().reshape(len(found), -1) if len(found) else np.zeros((0, 1))
     ids = found.column("doc_id").to_numpy() if len(found) else np.zeros(0)
@@ -217,8 +218,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, i
 
     score is the calibrated probability of label 1, from the text alone; predicted is 1 if it
     is threshold or more. labels: (doc_id, quality). A null or empty text has features of its
-    own (zeros) and a score like any other. Repeated rows score alike; a label counts once for
-    each row with its id. Rows with a null id are scored and never fitted on. Empty docs give
+    own (zeros) and a score like any other. Repeated rows score alike; a label counts once,
+    however many rows have its id. Rows with a null id are scored and never fitted on. Empty docs give
     no rows; without usable labels of both kinds all scores are the same.
     """
     rows = settle(features(docs, id_col, text_col), "quality-features")
