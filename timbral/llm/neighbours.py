@@ -13,23 +13,24 @@ from pyspark.sql import functions as F
 from timbral.llm.components import connected_components
 from timbral.llm.shared import discard, settle
 
-#: Orderings of the vectors by random hyperplanes that start the graph, and rows compared at once.
-TREES, CHUNK = 16, 128
+#: Orderings of the vectors by random hyperplanes that start the graph, two more for each doubling
+#: of the largest group beyond 2^WELL vectors; and rows compared at once.
+TREES, WELL, CHUNK = 16, 16, 128
 #: Rows that share a signature of hyperplane sides on average.
 LEAF = 48
-#: Neighbours in a list at first, and once it was saturated again and again.
-LIST, LONGEST = 12, 96
-#: Neighbours of less similarity are not kept: links lie far above.
-EXPLORE = 0.75
+#: Neighbours in a list at first, whatever their similarity, and once it was saturated with links
+#: again and again.
+LIST, LONGEST = 8, 96
+#: Marks what is no neighbour.
+NONE = -2.0
 #: Members of a centre compared at once.
 GROUP = 64
 ROUNDS = 8
 #: Vectors of one block when a component's links are counted.
-BLOCK = 512
-#: Components of more vectors are counted by blocks only if a list in them stayed saturated.
-VERIFIED = 4096
-#: Vectors whose links are compared with brute force, and the recall asked for.
-AUDITED, RECALL = 256, 0.97
+BLOCK = 2048
+#: Vectors of any kind, and as many that have links, whose links are compared with brute force; the
+#: recall below which the graph gets more trees; and the least that is returned.
+AUDITED, RECALL, LEAST_RECALL = 256, 0.97, 0.9
 HEAD = ["grp", "id"]
 
 
@@ -50,13 +51,13 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, x: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, s) for each row's `most` most similar other rows from EXPLORE on."""
+    """(a, b, s) for each row's `most` most similar other rows."""
     s = x @ x.T
-    s[ids[:, None] == ids[None, :]] = -1
+    s[ids[:, None] == ids[None, :]] = NONE
     if len(ids) > most:
         bar = np.partition(s, len(ids) - most, axis=1)[:, len(ids) - most]
-        s[s < bar[:, None]] = -1
-    i, j = np.nonzero(s >= EXPLORE)
+        s[s < bar[:, None]] = NONE
+    i, j = np.nonzero(s > NONE)
     if len(i):
         yield ids[i], ids[j], s[i, j]
 
@@ -167,7 +168,7 @@ def _descend(graph: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
         discard(graph)
         graph = new
         after = tuple(graph.agg(F.count("*"), F.sum(F.round("s", 6))).first())
-        if after[0] == before[0] and abs((after[1] or 0) - (before[1] or 0)) <= 1e-4 * max(1, after[0]):
+        if after[0] == before[0] and abs((after[1] or 0) - (before[1] or 0)) <= 1e-3 * max(1, after[0]):
             break
         before = after
     return graph
@@ -206,9 +207,13 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def audit(vectors: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Recall of links against brute force for AUDITED vectors, those with the smallest hash,
-    compared with all rows. links: (id, links)."""
-    asked = vectors.orderBy(F.xxhash64(F.lit("audit"), "id"), "id").limit(AUDITED).select("grp", "id", "vec").toPandas()
+    """Recall of links (id, links) against brute force: of AUDITED vectors of any kind and
+    AUDITED with links, those with the smallest hash, compared with all rows; the mean over the
+    vectors that truly have links."""
+    order = [F.xxhash64(F.lit("audit"), "id"), F.col("id")]
+    some = vectors.orderBy(*order).limit(AUDITED).select("grp", "id", "vec")
+    linked = vectors.join(links.where("links > 0").select("id"), "id", "left_semi").orderBy(*order).limit(AUDITED).select("grp", "id", "vec")
+    asked = some.union(linked).toPandas().drop_duplicates("id")
     if not len(asked):
         return 1.0
     by_dim = {d: (g["grp"].to_numpy(), g["id"].to_numpy(), np.stack(g["vec"].to_numpy())) for d, g in asked.groupby(asked["vec"].map(len))}
@@ -224,8 +229,9 @@ def audit(vectors: DataFrame, links: DataFrame, threshold: float) -> float:
                     yield pa.RecordBatch.from_arrays([pa.array(q[1]), pa.array(near @ m[lo:hi])], ["id", "truly"])
 
     truth = vectors.select("grp", "id", "m", "vec").mapInArrow(run, "id long, truly long").groupBy("id").agg(F.sum("truly").alias("truly"))
-    got, want = truth.join(links, "id", "left").agg(F.sum(F.least(F.coalesce("links", F.lit(0)), "truly")), F.sum("truly")).first()
-    return 1.0 if not want else got / want
+    share = F.least(F.coalesce("links", F.lit(0)), "truly") / F.col("truly")
+    found = truth.where("truly > 0").join(links, "id", "left").agg(F.avg(share)).first()[0]
+    return 1.0 if found is None else found
 
 
 def embedding_near_dedup(embeddings: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -234,39 +240,37 @@ def embedding_near_dedup(embeddings: DataFrame, threshold: float = 0.93, id_col:
     Vectors link when their labels are equal and not null and their cosine, in double
     precision, is threshold or more. Equal vectors count as one until the end. A random forest
     starts the neighbour graph, NN-descent refines it, and list entries of threshold or more
-    are links. Their components are then counted exactly, block by block, where they are of
-    VERIFIED vectors or less or a list in them stayed saturated at its longest. The audit
-    compares AUDITED vectors with brute force; below RECALL the graph gets more trees, twice
-    at most.
+    are links. In each component of them links are then counted exactly, block by block, at
+    every size; that costs the square of a component's vectors in numpy and a BLOCK-th of the
+    square in rows shuffled. The audit compares vectors with brute force; below RECALL the graph
+    gets more trees, twice at most, and below LEAST_RECALL after that it is an error.
 
     Rows whose label is null, or whose vector is null, empty, zero, or holds null or non-finite
     components link with nothing. Vectors of different dimensions never link. Rows with a null
     id link with nothing. Rows that repeat an id count as vectors of their own.
     """
     vectors = settle(usable(embeddings, id_col, vec_col, label_col), "vectors")
-    graph, trees, recall = None, TREES, 0.0
+    largest = vectors.groupBy("grp").count().agg(F.max("count")).first()[0] or 1
+    graph, trees, recall = None, TREES + 2 * max(0, int(largest).bit_length() - WELL), 0.0
     for attempt in range(3):
         started = _forest(vectors, trees, attempt)
         lengths = graph.select("a", "k").distinct() if graph is not None else None
         new = settle(_kept(started if graph is None else started.union(graph.select("a", "b", "s")), lengths), "neighbours")
         graph = _descend(new, vectors, threshold)
-        edges = graph.where(F.col("s") >= threshold).select("a", "b", "s")
-        groups = connected_components(edges)
+        groups = connected_components(graph.where(F.col("s") >= threshold).select("a", "b"))
         groups = settle(groups.union(groups.select("component", "component")).distinct(), "groups")
-        tight = _saturated(graph, threshold).where(F.col("k") >= LONGEST).select(F.col("a").alias("node"))
-        dense = groups.join(tight, "node", "left_semi").select("component").distinct().withColumn("dense", F.lit(True))
-        sizes = groups.groupBy("component").agg(F.count("*").alias("size")).join(dense, "component", "left")
-        exact = sizes.where((F.col("size") <= VERIFIED) | F.col("dense"))
-        members = groups.join(exact, "component").join(vectors, F.col("node") == vectors["id"])
-        verified = _counted(settle(members.select("component", "size", "id", "m", "grp", "vec"), "members"), threshold)
-        rest = groups.join(exact, "component", "left_anti").select(F.col("node").alias("a"))
-        linked = edges.select("a", "b").union(edges.select("b", "a")).distinct().join(rest, "a", "left_semi")
-        loose = linked.join(vectors.select(F.col("id").alias("b"), "m"), "b").groupBy("a").agg(F.sum("m").alias("links"))
-        links = settle(verified.union(loose), "links")
+        sizes = settle(groups.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+        members = groups.join(sizes, "component").join(vectors, F.col("node") == vectors["id"])
+        members = settle(members.select("component", "size", "id", "m", "grp", "vec"), "members")
+        links = settle(_counted(members, threshold), "links")
+        discard(members, sizes)
         recall = audit(vectors, links, threshold)
         if recall >= RECALL:
             break
         trees *= 2
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"the neighbour graph found {recall:.3f} of the links of the audited vectors")
+    discard(graph)
     named = vectors.join(groups, vectors["id"] == groups["node"], "left").join(links.withColumnRenamed("id", "lid"), vectors["id"] == F.col("lid"), "left")
     named = named.select(F.col("grp"), "vec", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"), F.col("id").alias("rep"))
     return _spread(embeddings, named.select("rep", "n_links", "component_id"), id_col, vec_col, label_col)
