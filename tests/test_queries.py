@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from timbral.plans.queries import ORACLES, QUERIES
+from timbral.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
