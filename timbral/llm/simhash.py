@@ -4,7 +4,9 @@ shingle similarity far below what so few bits can tell, bands of minima with an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,10 @@ BLOCK = 1 << 16
 #: Bands of minima and minima in each: a pair of Jaccard similarity s shares no band with
 #: probability (1 - s^ROWS)^BANDS, 8e-5 at 0.8 and 5e-8 at 0.85.
 BANDS, ROWS = 40, 7
+#: Two bits of each minimum are a set's signature, in so many longs. A pair of the asked similarity
+#: is ruled out by its share of equal ones when that is DEVIATIONS standard deviations too low,
+#: with probability 3e-5.
+WORDS, DEVIATIONS = -(-BANDS * ROWS // 32), 4
 #: Shingles whose minima are taken at once.
 STEP = 256
 #: Rounds in which the documents of a band are compared with one of them only, before all those
@@ -134,7 +140,8 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """BANDS keys, each of ROWS minima of the hashes under random linear maps."""
+    """BANDS keys, each of ROWS minima of the hashes under random linear maps, and the WORDS longs
+    of the signature."""
     rng = np.random.default_rng(SEED)
     a, b = (rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -144,12 +151,22 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     for row in least.reshape(BANDS, ROWS).T:
         key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return key
+    bits = np.zeros(32 * WORDS, np.uint64)
+    bits[: len(least)] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62)
+    signature = np.bitwise_or.reduce(bits.reshape(WORDS, 32) << np.arange(0, 64, 2, dtype=np.uint64), axis=1)
+    return np.concatenate([key, signature])
+
+
+def _unlike(x: Column, y: Column) -> Column:
+    """How many minima differ in their two bits, of two signatures."""
+    both = [F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))) for i in range(WORDS)]
+    odd = [F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(F.lit(0x5555555555555555))) for v in both]
+    return reduce(Column.__add__, odd)
 
 
 def _shingled(docs: DataFrame, size: int, whole: bool) -> DataFrame:
     """(doc_id, set long, n, values) of docs (doc_id, text): the shingle set's hash and size, and
-    all its values or its band keys."""
+    all its values or its band keys and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -175,7 +192,8 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, i
     up, so candidates share a band of minima. Every candidate's similarity is counted exactly.
     Equal sets (those without words too) count as one until the end. Documents of a band are
     first compared with one of them, STARS times; then all that share a band and are still in
-    different components are compared, so no link that joins components is left out.
+    different components are compared, so no link that joins components is left out. Of those,
+    signatures rule out pairs far below the similarity before they leave the join.
 
     component_id is the smallest doc_id reachable. Rows with a null id get the component of
     their set (null if no row with an id shares it).
@@ -184,7 +202,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, i
     each = settle(_shingled(own, size, False), "shingled")
     sets = each.where("doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "values"), "doc_id").alias("x"))
     sets = settle(sets.select("set", "rep", "x.n", "x.values"), "sets")
-    rows = sets.select("set", "rep", "n", F.explode("values").alias("band"))
+    rows = sets.select("set", "rep", "n", F.explode(F.slice("values", 1, BANDS)).alias("band"))
     shared = settle(rows.join(rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band"), "band"), "bands")
     asked = own.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     values = settle(_shingled(asked, size, True).select("set", "values").dropDuplicates(["set"]), "values")
@@ -211,8 +229,12 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, i
             pairs = left.select(*[F.col(c).alias(f"{c}_x") for c in columns], *[F.col(f"y.{c}").alias(f"{c}_y") for c in columns])
             pairs = pairs.where("component_x != component_y")
         else:
-            x, y = (left.select("band", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "xy")
-            pairs = x.join(y, "band").where("component_x < component_y")
+            signed = left.drop("y").join(sets.select("set", F.slice("values", BANDS + 1, WORDS).alias("sig")), "set")
+            x, y = (signed.select("band", *[F.col(c).alias(f"{c}_{s}") for c in [*columns, "sig"]]) for s in "xy")
+            equal = 0.25 + 0.75 * similarity
+            most = BANDS * ROWS * (1 - equal) + DEVIATIONS * sqrt(BANDS * ROWS * equal * (1 - equal))
+            near = (F.col("component_x") < F.col("component_y")) & (_unlike(F.col("sig_x"), F.col("sig_y")) <= most)
+            pairs = x.join(y, (x["band"] == y["band"]) & near)
         edges = edges.union(linked(pairs))
         found = connected_components(edges)
     of = sets.join(found, sets["rep"] == found["node"], "left").select("set", F.coalesce("component", "rep").alias("component_id"))
