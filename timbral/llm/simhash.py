@@ -193,7 +193,8 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, i
     Equal sets (those without words too) count as one until the end. Documents of a band are
     first compared with one of them, STARS times; then all that share a band and are still in
     different components are compared, so no link that joins components is left out. Of those,
-    signatures rule out pairs far below the similarity before they leave the join.
+    signatures rule out pairs far below the similarity before they leave the join, and a pair
+    leaves it in the first band that both share alone.
 
     component_id is the smallest doc_id reachable. Rows with a null id get the component of
     their set (null if no row with an id shares it).
@@ -229,12 +230,14 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, i
             pairs = left.select(*[F.col(c).alias(f"{c}_x") for c in columns], *[F.col(f"y.{c}").alias(f"{c}_y") for c in columns])
             pairs = pairs.where("component_x != component_y")
         else:
-            signed = left.drop("y").join(sets.select("set", F.slice("values", BANDS + 1, WORDS).alias("sig")), "set")
-            x, y = (signed.select("band", *[F.col(c).alias(f"{c}_{s}") for c in [*columns, "sig"]]) for s in "xy")
+            parts = {"keys": F.slice("values", 1, BANDS), "sig": F.slice("values", BANDS + 1, WORDS)}
+            signed = left.drop("y").join(sets.select("set", *[c.alias(k) for k, c in parts.items()]), "set")
+            x, y = (signed.select("band", *[F.col(c).alias(f"{c}_{s}") for c in [*columns, *parts]]) for s in "xy")
             equal = 0.25 + 0.75 * similarity
             most = BANDS * ROWS * (1 - equal) + DEVIATIONS * sqrt(BANDS * ROWS * equal * (1 - equal))
             near = (F.col("component_x") < F.col("component_y")) & (_unlike(F.col("sig_x"), F.col("sig_y")) <= most)
-            pairs = x.join(y, (x["band"] == y["band"]) & near)
+            once = F.get(F.array_intersect("keys_x", "keys_y"), F.lit(0)) == x["band"]
+            pairs = x.join(y, (x["band"] == y["band"]) & near & once)
         edges = edges.union(linked(pairs))
         found = connected_components(edges)
     of = sets.join(found, sets["rep"] == found["node"], "left").select("set", F.coalesce("component", "rep").alias("component_id"))
