@@ -124,3 +124,23 @@ def test_settled_tables_outlive_their_shuffles(spark):
     df = shared.settle(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "test")
     assert df.count() == 7 and spark.conf.get(shared.CLEANUP) in (None, "false", "true")
     shared.discard(df)
+
+
+def test_chains_of_many_pairs_at_once():
+    """The chains of a batch of pairs are those of each pair by itself."""
+    rng = np.random.default_rng(5)
+    pair, mark, omark = [], [], []
+    for p in range(60):
+        x = np.sort(rng.integers(0, 30 + 12 * p, 3 + p // 3))
+        y = np.maximum(0, x + rng.choice([-9, 0, 0, 0, 4, 200], len(x)))
+        pair += [p] * len(x)
+        mark += (2 * x + rng.integers(0, 2, len(x)) * (p % 4 == 0)).tolist()
+        omark += (2 * y + (p % 4 == 0)).tolist()
+    pair, mark, omark = np.array(pair), np.array(mark, np.int32), np.array(omark, np.int32)
+    of, blocks, more = passages.chains_of(pair, mark, omark)
+    got = sorted([(int(p), b) for p, b in zip(of, blocks.tolist(), strict=True)] + more)
+    want = []
+    for p in range(60):
+        x, y = passages.anchors_of(mark[pair == p], omark[pair == p])
+        want += [(p, [v for b in c for v in b[:3]]) for c in passages.chains(x, y) if sum(b[3] for b in c) >= passages.LEAST]
+    assert got == sorted(want) and more and len(of)
