@@ -12,11 +12,15 @@ from timbral.functions import signal as S
 from timbral.functions import text as T
 from timbral.functions import vectors as V
 from timbral.operators import evaluation, learning, monitoring, sequence, transcripts, verification
-from timbral.plans.queries import tones
 from timbral.sources import wav
 from timbral.streaming import sessions
 
 
+
+def tones(spark):
+    return S.tone(spark, [("a", 200.0, 0.5, 8000), ("b", 400.0, 0.5, 8000), ("c", 150.0, 0.3, 6000), ("quiet", 300.0, 0.0, 4000)])
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [3.0, 4.0], [3.0, 4.0]), (2, [0.0, 0.0], [1.0, 0.0]), (3, [1.0, float("nan")], [1.0, 1.0])], "id int, a array<double>, b array<double>")
     got = {r.id: r for r in rows.select("id", V.cosine(F.col("a"), F.col("b")).alias("c"), V.unit(F.col("a")).alias("u"), V.has_nan_or_inf(F.col("a")).alias("bad")).collect()}
@@ -141,12 +145,14 @@ def test_files(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     rows = [("s1", 1, False), ("s1", 2, True), ("s1", 3, False), *[("s2", i, False) for i in range(6)], ("s3", 1, False)]
-    spark.createDataFrame(rows, "session string, seq int, ok boolean").coalesce(1).write.json(f"{tmp_path}/attempts")
-    stream = spark.readStream.schema("session string, seq int, ok boolean").json(f"{tmp_path}/attempts")
-    q = sessions.session_stream(stream).writeStream.outputMode("update").format("memory").queryName("states").trigger(once=True).option("checkpointLocation", f"{tmp_path}/ck").start()
+    timed = "session string, seq int, ok boolean, ts timestamp"
+    spark.createDataFrame(rows, "session string, seq int, ok boolean").withColumn("ts", F.timestamp_seconds(F.col("seq"))).coalesce(1).write.parquet(f"{tmp_path}/timed")
+    stream = spark.readStream.schema(timed).parquet(f"{tmp_path}/timed")
+    seen = []
+    q = sessions.session_stream(stream).writeStream.outputMode("update").foreachBatch(lambda batch, number: seen.extend(batch.collect())).trigger(once=True).option("checkpointLocation", f"{tmp_path}/ck").start()
     q.awaitTermination(60)
     q.stop()
-    assert {r.session: (r.state, r.attempts) for r in spark.table("states").collect()} == {"s1": ("verified", 2), "s2": ("failed", 4), "s3": ("pending", 1)}
+    assert {r.session: (r.state, r.attempts) for r in seen} == {"s1": ("verified", 2), "s2": ("failed", 4), "s3": ("pending", 1)}
     batch = transcripts.session_states(spark.createDataFrame(rows, "session string, seq int, ok boolean"), "session", ["seq"], F.col("ok"))
     assert {r.session: (r.state, r.attempts) for r in batch.collect()} == {"s1": ("verified", 2), "s2": ("failed", 4), "s3": ("pending", 1)}
 

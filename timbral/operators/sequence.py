@@ -9,31 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timbral.functions.batches import frames, streams
+
 
 def _by(keys: list[str], order: str = "i") -> Window:
     return Window.partitionBy(*keys).orderBy(order)
 
 
 def framed(samples: DataFrame, keys: list[str], value: str, length: int, hop: int) -> DataFrame:
-    """(keys, frame, x) of full overlapping frames, x the frame's samples in order. Each
-    sample goes to the frames that hold it, so there is no self-join."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    first = F.greatest(F.lit(0), F.ceil((F.col("i") - length + 1) / hop)).cast("int")
-    last = F.floor(F.col("i") / hop).cast("int")
-    rows = samples.withColumn("n", n).withColumn("frame", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
-    rows = rows.where(F.col("frame") * hop + length <= F.col("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", F.col(value).cast("double").alias("v"))))
-    return rows.groupBy(*keys, "frame").agg(F.transform(ordered, lambda s: s["v"]).alias("x"))
+    """(keys, frame, x) of full overlapping frames, x the frame's samples in order. Samples are
+    shuffled once, to their utterance; frames are sliced inside its row."""
+    whole = streams(samples, keys, ["i"], value)
+    return whole.select(*keys, F.posexplode(frames(F.col("x"), length, hop)).alias("frame", "x"))
 
 
 def frame_levels(samples: DataFrame, keys: list[str], value: str, length: int = 512, hop: int = 256) -> DataFrame:
     """(keys, frame, rms, energy) of full frames."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    first = F.greatest(F.lit(0), F.ceil((F.col("i") - length + 1) / hop)).cast("int")
-    rows = samples.withColumn("n", n).withColumn("frame", F.explode(F.sequence(first, F.greatest(first, F.floor(F.col("i") / hop).cast("int")))))
-    rows = rows.where((F.col("frame") * hop + length <= F.col("n")) & (F.col("i") >= F.col("frame") * hop) & (F.col("i") < F.col("frame") * hop + length))
-    square = F.col(value) * F.col(value)
-    return rows.groupBy(*keys, "frame").agg(F.sqrt(F.avg(square)).alias("rms"), F.sum(square).alias("energy"))
+    energy = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    rows = framed(samples, keys, value, length, hop).select(*keys, "frame", energy.alias("energy"))
+    return rows.select(*keys, "frame", F.sqrt(F.col("energy") / length).alias("rms"), "energy")
 
 
 def envelope(rows: DataFrame, keys: list[str], value: str, taps: int = 5) -> DataFrame:

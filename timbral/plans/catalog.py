@@ -1,5 +1,5 @@
 """All registered queries of the base library and their SQL twins."""
 
-from timbral.plans import queries, scoring  # noqa: F401  scoring registers its own
+from timbral.plans import acoustics, queries, scoring, updates  # noqa: F401  each registers its own
 
 QUERIES, ORACLES = queries.QUERIES, queries.ORACLES

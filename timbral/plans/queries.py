@@ -707,35 +707,6 @@ def window_levels(spark, sf):
     return found.select("device", F.unix_timestamp("start").alias("start_s"), r6("rms").alias("rms"), "peak", "n")
 
 
-def tones(spark) -> DataFrame:
-    rows = [("a", 200.0, 0.5, 8000), ("b", 400.0, 0.5, 8000), ("c", 150.0, 0.3, 6000), ("quiet", 300.0, 0.0, 4000)]
-    return S.tone(spark, rows)
-
-
-@query()
-def mfcc_tones(spark, sf):
-    frames = sequence.framed(tones(spark), ["utt_id"], "x", 400, 160)
-    return frames.select("utt_id", "frame", S.mfcc(16000)(F.col("x")).alias("mfcc"))
-
-
-@query()
-def pitch_tones(spark, sf):
-    frames = sequence.framed(tones(spark), ["utt_id"], "x", 800, 400)
-    return frames.select("utt_id", "frame", F.get(S.pitch(16000)(F.col("x")), F.lit(0)).alias("f0"))
-
-
-@query()
-def formant_tones(spark, sf):
-    frames = sequence.framed(tones(spark), ["utt_id"], "x", 400, 200)
-    return frames.select("utt_id", "frame", S.formants(16000)(S.lpc(12)(F.col("x"))).alias("formants"))
-
-
-@query()
-def denoise_tones(spark, sf):
-    frames = sequence.framed(tones(spark), ["utt_id"], "x", 512, 128)
-    return S.overlap_add(S.spectral_subtraction(frames, ["utt_id"], 512, noise_frames=2), ["utt_id"], 512, 128)
-
-
 @query()
 def dtw_to_centroid(spark, sf):
     return similarities(spark, sf).select("vec_id", r6(S.dtw_distance(V.doubles(F.col("embedding")), F.col("centroid"))).alias("distance"))

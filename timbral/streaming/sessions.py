@@ -30,20 +30,44 @@ def step(state: str, attempts: int, outcomes: list[bool], retries: int) -> tuple
     return state, attempts
 
 
-def session_stream(attempts: DataFrame, retries: int = 3, ttl_ms: int = 120_000) -> DataFrame:
-    """(session, state, attempts) updates of a stream (session, seq, ok). A session
-    not seen for ttl_ms of processing time expires if it is pending, and is then forgotten."""
-
-    def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ("pending", 0)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"session": [key[0]], "state": ["expired" if now[0] == "pending" else now[0]], "attempts": [now[1]]})
+def session_stream(attempts: DataFrame, retries: int = 3, ttl: str = "120 seconds", late: str = "10 seconds") -> DataFrame:
+    """(session, state, attempts) updates of a stream (session, seq, ok, ts).
+
+    A session expires ttl after its first attempt in event time, whatever comes in between:
+    attempts from then on do not count, and a pending session becomes expired as soon as the
+    watermark (`late` behind the newest attempt) or a later attempt of its own passes that time. A
+    session that has ended is kept until then, so that late attempts change nothing, is reported
+    once, and is forgotten afterwards.
+    """
+    limit = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    shape = "state string, attempts int, until long"
+
+    def row(key: tuple, state: str, n: int) -> pd.DataFrame:
+        return pd.DataFrame({"session": [key[0]], "state": [state], "attempts": [n]})
+
+    def advance(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            state, n, _ = group.get
+            group.remove()
+            if state == "pending":
+                yield row(key, "expired", n)
             return
         rows = pd.concat(list(parts)).sort_values("seq")
-        now = step(*now, rows["ok"].tolist(), retries)
-        state.update(now)
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"session": [key[0]], "state": [now[0]], "attempts": [now[1]]})
+        at = rows["ts"].map(lambda t: int(t.timestamp() * 1000))
+        before = group.get if group.exists else ("pending", 0, int(at.min()) + limit)
+        state, n = step(before[0], before[1], rows["ok"][at < before[2]].tolist(), retries)
+        if state == "pending" and (at >= before[2]).any():
+            state = "expired"
+        passed = before[2] <= group.getCurrentWatermarkMs()
+        if state == "pending" and passed:
+            state = "expired"
+        if passed:
+            group.remove()
+        else:
+            group.update((state, n, before[2]))
+            group.setTimeoutTimestamp(before[2])
+        if (state, n) != before[:2]:
+            yield row(key, state, n)
 
-    return attempts.groupBy("session").applyInPandasWithState(advance, SESSION, "state string, attempts int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = attempts.withWatermark("ts", late)
+    return timed.groupBy("session").applyInPandasWithState(advance, SESSION, shape, "update", GroupStateTimeout.EventTimeTimeout)
