@@ -21,7 +21,9 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,10 @@ HEADER = 8
 BLOCK = 4096
 #: A file is closed by the document with which it has this many ids.
 FILE_IDS = 1 << 22
-#: Words whose ids a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 1 << 18, 64
+#: With more words than this a worker forgets those whose ids it remembers.
+REMEMBERED = 1 << 20
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+MARKS = ".,;:!?"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -142,49 +146,80 @@ class PackedFile:
 
 class Encoder:
     """A tokenizers file, applied to texts; by_words: it drops ASCII white space and never looks
-    across it, so the ids of a text are those of its words, and each word is encoded once."""
+    across it, so the ids of a text are those of its words, and each word is encoded once while it
+    is remembered. Where the file is seen to fold ASCII letters and to keep them in one piece, words
+    of such letters go to its model at once, and so do those with one mark behind them."""
 
     def __init__(self, described: str, by_words: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_words = Tokenizer.from_str(described), by_words
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        folded = self._pieces(LETTERS) == [LETTERS.lower()]
+        self.marks = {m.encode(): self._spelled(m) for m in MARKS if folded and self._pieces(f"{LETTERS}{m}") == [LETTERS.lower(), m]}
+        self.folded = folded
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words by row; row r's ids are flat[ends[r]:ends[r + 1]]."""
+        self.rows: dict[bytes, int] = {}
+        self.flat, self.ends = array("I"), array("I", [0])
+
+    def _pieces(self, text: str) -> list[str]:
+        t = self.tokenizer
+        if t.normalizer is None or t.pre_tokenizer is None:
+            return []
+        return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))]
+
+    def _spelled(self, piece: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(piece)]
+
+    def _encode(self, texts: list[bytes]) -> list[list[int]]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4") for e in found]
-
-    def _words(self, words: list[bytes]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        ids = dict(zip(new, self._encode(new), strict=True))
-        found = [ids[w] if w in ids else self.known[w] for w in words]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        self.known.update((w, x) for w, x in ids.items() if len(w) <= LONGEST)
-        return found
+        return [e.ids for e in found]
+
+    def _put(self, word: bytes, ids: list[int]) -> None:
+        self.rows[word] = len(self.ends) - 1
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+
+    def _learn(self, words: set[bytes]) -> None:
+        rest = []
+        for w in words:
+            if self.folded and w.isalpha():  # bytes: ASCII letters only
+                self._put(w, self._spelled(w.lower().decode()))
+            elif w[-1:] in self.marks and w[:-1].isalpha():
+                self._put(w, self._spelled(w[:-1].lower().decode()) + self.marks[w[-1:]])
+            else:
+                rest.append(w)
+        for w, ids in zip(rest, self._encode(rest), strict=True):
+            self._put(w, ids)
 
     def encode(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's begin; `end` follows each."""
         tail = [] if end is None else [end]
         if not self.by_words:
-            own = [np.append(x, np.array(tail, "<u4")) for x in self._encode(texts)]
-            return np.concatenate([np.zeros(0, "<u4"), *own]), np.cumsum([0, *map(len, own)])
+            own = [[*x, *tail] for x in self._encode(texts)]
+            return np.fromiter(chain.from_iterable(own), "<u4"), np.cumsum([0, *map(len, own)])
         split = [t.split() for t in texts]
-        found = pa.array([w for s in split for w in s], pa.binary()).dictionary_encode()
-        table = [*self._words(found.dictionary.to_pylist()), np.array(tail, "<u4")]
-        sizes = np.array([len(x) for x in table])
-        firsts = np.cumsum(sizes) - sizes
-        counts = np.array([len(s) + 1 for s in split])
-        ends = np.cumsum(counts)
-        codes = np.full(int(ends[-1]), len(table) - 1)
-        inside = np.ones(len(codes), bool)
-        inside[ends - 1] = False
-        codes[inside] = found.indices.to_numpy()
-        lengths = sizes[codes]
+        words = list(chain.from_iterable(split))
+        codes = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            unknown = [words[i] for i in new]
+            self._learn(set(unknown))
+            codes[new] = np.fromiter(map(self.rows.__getitem__, unknown), np.int64, len(new))
+        bounds = np.frombuffer(self.ends, np.uint32).astype(np.int64)
+        flat = np.append(np.frombuffer(self.flat, np.uint32), np.array(tail, np.uint32))
+        bounds = np.append(bounds, len(flat))  # the last row is the end
+        stops_of = np.cumsum([len(s) + 1 for s in split])
+        codes = np.insert(codes, stops_of - np.arange(1, len(stops_of) + 1), len(bounds) - 2)
+        firsts, lengths = bounds[codes], bounds[codes + 1] - bounds[codes]
         stops = np.cumsum(lengths)
-        places = np.repeat(firsts[codes] - stops + lengths, lengths) + np.arange(int(stops[-1]))
-        return np.concatenate(table)[places], np.concatenate([[0], stops[ends - 1]])
+        places = np.repeat(firsts - stops + lengths, lengths) + np.arange(int(stops[-1]))
+        if len(self.rows) > REMEMBERED:
+            self._forget()
+        return flat[places], np.concatenate([[0], stops[stops_of - 1]])
 
 
 @functools.lru_cache(maxsize=2)
