@@ -94,22 +94,23 @@ def mfcc(rate: int, n_fft: int = 512, bands: int = 40, coefficients: int = 20, l
     return _per_frame(kernel)
 
 
-def lpc(order: int):
-    """Prediction filter [1, a1, ..] by the Levinson recursion; [1, 0, ..] for silence."""
+def levinson(x: np.ndarray, order: int) -> np.ndarray:
+    """Prediction filters [1, a1, ..] of frames (rows) by the Levinson recursion on their own products;
+    [1, 0, ..] for silence."""
+    r = np.stack([(x[:, : x.shape[1] - k] * x[:, k:]).sum(axis=1) for k in range(order + 1)], axis=1)
+    a, e = np.zeros((len(x), order + 1)), r[:, 0] + 1e-12
+    a[:, 0] = 1
+    for i in range(1, order + 1):
+        k = -(a[:, :i] * r[:, i:0:-1]).sum(axis=1) / e
+        a[:, 1 : i + 1] += k[:, None] * a[:, i - 1 :: -1][:, :i] if i > 1 else k[:, None]
+        e = e * (1 - k * k)
+    a[r[:, 0] <= 1e-12, 1:] = 0
+    return a
 
-    def kernel(x):
-        x = x * np.hamming(x.shape[1])
-        r = np.stack([(x[:, : x.shape[1] - k] * x[:, k:]).sum(axis=1) for k in range(order + 1)], axis=1)
-        a, e = np.zeros((len(x), order + 1)), r[:, 0] + 1e-12
-        a[:, 0] = 1
-        for i in range(1, order + 1):
-            k = -(a[:, :i] * r[:, i:0:-1]).sum(axis=1) / e
-            a[:, 1 : i + 1] += k[:, None] * a[:, i - 1 :: -1][:, :i] if i > 1 else k[:, None]
-            e = e * (1 - k * k)
-        a[r[:, 0] <= 1e-12, 1:] = 0
-        return a
 
-    return _per_frame(kernel)
+def lpc(order: int):
+    """Prediction filters of Hamming-windowed frames."""
+    return _per_frame(lambda x: levinson(x * np.hamming(x.shape[1]), order))
 
 
 def formants(rate: int, most: int = 4):

@@ -6,23 +6,7 @@ import numpy as np
 
 from timbral.functions.batches import framed, on_signals
 from timbral.functions.glottal import burg, inverse_filtered
-
-
-def _spectra(x: np.ndarray, length: int, hop: int) -> np.ndarray:
-    padded = np.pad(x, ((0, 0), (length // 2, length // 2 + hop)))
-    return np.fft.rfft(framed(padded, length, hop) * np.hanning(length + 1)[:-1])
-
-
-def _joined(frames: np.ndarray, hop: int, window: np.ndarray, n: int) -> np.ndarray:
-    """Windowed frames added up where they lie, by the sum of squared windows, from the middle of the
-    first frame on."""
-    rows, count, length = frames.shape
-    out, weight = np.zeros((rows, length + hop * (count - 1))), np.zeros(length + hop * (count - 1))
-    for k in range(count):
-        out[:, k * hop : k * hop + length] += frames[:, k] * window
-        weight[k * hop : k * hop + length] += window**2
-    y = (out / np.maximum(weight, 1e-6))[:, length // 2 : length // 2 + n]
-    return np.pad(y, ((0, 0), (0, n - y.shape[1])))
+from timbral.functions.spectra import centred, joined
 
 
 def _owners(size: np.ndarray) -> np.ndarray:
@@ -41,7 +25,7 @@ def stretched(x: np.ndarray, speed: float, length: int, hop: int) -> np.ndarray:
     each new frame; phases add up the advance that was measured between the two old ones. The bins
     around a maximum keep their phases towards it, or they would cancel each other."""
     n = max(1, round(x.shape[1] / speed))
-    z = _spectra(x, length, hop)
+    z = centred(x, length, hop)
     z = np.pad(z, ((0, 0), (0, 2), (0, 0)))
     at = np.arange(0, z.shape[1] - 2, speed)
     expected = 2 * np.pi * hop * np.arange(z.shape[2]) / length
@@ -56,7 +40,7 @@ def stretched(x: np.ndarray, speed: float, length: int, hop: int) -> np.ndarray:
         turn = np.angle(b) - np.angle(a) - expected
         phase = phase + expected + turn - 2 * np.pi * np.rint(turn / (2 * np.pi))
     window = np.hanning(length + 1)[:-1]
-    return _joined(np.fft.irfft(np.stack(frames, axis=1), length), hop, window, n)
+    return joined(np.fft.irfft(np.stack(frames, axis=1), length), hop, window, n)
 
 
 def resampled(x: np.ndarray, n: int) -> np.ndarray:
@@ -131,7 +115,7 @@ def shift_formants(x: np.ndarray, factor: float, length: int, hop: int, order: i
     a = burg(raised, order)
     changed = all_pole(inverse_filtered(raised, a), rotated(a, factor))
     lowered = all_pole(changed, np.tile([1.0, -emphasis], (len(f), 1)))
-    y = _joined(lowered.reshape(rows, count, length), hop, window, n)
+    y = joined(lowered.reshape(rows, count, length), hop, window, n)
     top, was = np.abs(y).max(axis=1, keepdims=True), np.abs(x).max(axis=1, keepdims=True)
     return np.where(top > 0, y / np.where(top > 0, top, 1) * was, 0)
 

@@ -62,3 +62,24 @@ def binary_metrics(rows: DataFrame) -> DataFrame:
     area = curve.join(points, curve["threshold"] == points["score"]).agg(F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)).alias("u"), F.max("tp").alias("np"), F.max("fp").alias("nq"))
     both = flat.crossJoin(area)
     return both.select("accuracy", F.try_divide("u", F.col("np") * F.col("nq")).alias("auc"), F.try_divide(2.0 * F.col("tp"), F.col("said") + F.col("truly")).alias("f1"))
+
+
+def class_metrics(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """(class, n, precision, recall, f1) of every class that is true or predicted somewhere; a
+    ratio over nothing is 0. Rows with a null truth or prediction are left out. One grouping by both
+    gives the table that all else is summed from."""
+    cells = rows.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("c"))
+    hit = F.when(F.col("t") == F.col("p"), F.col("c")).otherwise(0)
+    side = lambda c, name: cells.groupBy(F.col(c).alias("class")).agg(F.sum("c").alias(name), F.sum(hit).alias(f"hit_{name}"))
+    both = side("t", "n").join(side("p", "said"), "class", "full").na.fill(0, ["n", "said", "hit_n", "hit_said"])
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    both = both.withColumn("precision", ratio("hit_said", "said")).withColumn("recall", ratio("hit_n", "n"))
+    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    return both.select("class", "n", "precision", "recall", f1.alias("f1"))
+
+
+def macro_metrics(classes: DataFrame) -> DataFrame:
+    """One row (accuracy, macro_precision, macro_recall, macro_f1): plain means over the classes
+    that class_metrics() gave."""
+    hits = F.sum(F.col("recall") * F.col("n")) / F.sum("n")
+    return classes.agg(hits.alias("accuracy"), *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])

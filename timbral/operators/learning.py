@@ -117,3 +117,37 @@ def secret_shares(rows: DataFrame, value: str, shares: int, seed: int) -> DataFr
 def reconstruct(shares: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Sums of shares of keys with `least` shares at least."""
     return shares.groupBy(*keys).agg(F.sum("share").alias("value"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+
+
+def secure_mean(updates: DataFrame, param: list[str], client: str, value: str, weight: str, clients: int, share: float = 0.5) -> DataFrame:
+    """(param, mean, clients) of the parameter places that enough clients sent: max(2, floor(share
+    clients)) different ones at least. A client's repeated rows weigh each; nulls are left out."""
+    kept = updates.where(F.col(value).isNotNull() & F.col(weight).isNotNull())
+    own = kept.groupBy(*param, client).agg(F.sum(F.col(value) * F.col(weight)).alias("s"), F.sum(weight).alias("w"))
+    found = own.groupBy(*param).agg(F.try_divide(F.sum("s"), F.sum("w")).alias("mean"), F.count("*").alias("clients"))
+    return found.where(F.col("clients") >= max(2, int(clients * share)))
+
+
+def server_step(state: DataFrame, means: DataFrame, param: list[str], rate: float = 1.0, momentum: float = 0.0) -> DataFrame:
+    """(param, value, speed) after a round: speed = momentum x speed + rate x (mean - value), and
+    value + speed. Places without a mean keep their value, and their speed fades; places that are
+    new start at their mean, with speed 0."""
+    both = state.select(*param, "value", F.coalesce("speed", F.lit(0.0)).alias("speed")).join(means.select(*param, "mean"), param, "full")
+    pull = F.when(F.col("mean").isNotNull(), rate * (F.col("mean") - F.col("value"))).otherwise(0.0)
+    speed = F.when(F.col("value").isNotNull(), momentum * F.col("speed") + pull).otherwise(0.0)
+    return both.select(*param, F.coalesce(F.col("value") + speed, "mean").alias("value"), speed.alias("speed"))
+
+
+def select_samples(rows: DataFrame, sample: str, uncertainty: str, vec: str, k: int, method: str = "hybrid", seed: int = 0) -> DataFrame:
+    """The k samples to be labelled, (sample): the most uncertain ones; one near each of k centres;
+    hybrid, those of the 2k most uncertain; or random, by a hash of the sample. Ties go to the
+    smaller sample. Fewer rows than k give all of them."""
+    if method == "uncertainty":
+        return rows.orderBy(F.desc(uncertainty), sample).limit(k).select(sample)
+    if method == "random":
+        return rows.orderBy(F.xxhash64(F.lit(seed), sample), sample).limit(k).select(sample)
+    if method == "diversity":
+        return representatives(rows, sample, vec, k, seed).select(sample)
+    if method == "hybrid":
+        return representatives(rows.orderBy(F.desc(uncertainty), sample).limit(2 * k), sample, vec, k, seed).select(sample)
+    raise ValueError("method is uncertainty, diversity, hybrid or random")
