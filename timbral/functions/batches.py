@@ -58,6 +58,29 @@ def on_signals(work: Callable[..., dict], least: int = 1, **fields: str) -> Call
     return run
 
 
+def on_seeded(work: Callable[..., dict], least: int = 1, **fields: str) -> Callable[..., Column]:
+    """A column function of (signal, seed, name), giving a struct of `fields`: work(matrix, generators,
+    name) sees signals of one length and one name at a time, and for each row a generator of random
+    numbers that depends on its seed alone, so reruns agree. A null seed is 0."""
+    names = list(fields)
+    given = T.StructType([T.StructField(n, KINDS[k][0]) for n, k in fields.items()])
+    arrow = pa.struct([(n, KINDS[k][1]) for n, k in fields.items()])
+
+    @F.arrow_udf(given)
+    def run(signals: pa.Array, seeds: pa.Array, kinds: pa.Array) -> pa.Array:
+        out: list = [None] * len(signals)
+        seed, kind = seeds.fill_null(0).to_pylist(), np.array(kinds.to_pylist(), dtype=object)
+        for rows, x in matrices(signals, least):
+            for name in dict.fromkeys(kind[rows].tolist()):
+                own = np.flatnonzero([k == name for k in kind[rows]])
+                found = work(x[own], [np.random.default_rng(seed[rows[i]] & (2**63 - 1)) for i in own], name)
+                for k, i in enumerate(own):
+                    out[rows[i]] = {n: found[n][k] for n in names}
+        return pa.array(out, arrow)
+
+    return run
+
+
 def streams(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str = "x") -> DataFrame:
     """(keys, out): each key's values in order, as one array; null values are 0. A key is an
     utterance: what one task holds of it is bounded by how long an utterance may be."""
