@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timbral.tables import written
+
 #: Buckets of the score range; cumulative sums run inside each, and over their totals.
 BUCKETS = 1024
 
@@ -26,10 +28,11 @@ def roc(rows: DataFrame) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr) at each distinct score of rows (score, genuine), from
     the highest down; a trial is accepted at the threshold or above. Null scores are left out.
 
-    Counts are summed per distinct score, then cumulated within BUCKETS ranges of score; the
-    ranges' own totals are few enough for one window.
+    Counts are summed per distinct score and written, as all else is read from them, then cumulated
+    within BUCKETS ranges of score; the ranges' own totals are few enough for one window.
     """
     points = rows.where("score is not null").groupBy("score").agg(F.count_if("genuine").alias("p"), F.count_if(~F.col("genuine")).alias("q"))
+    points = written(points, "roc-points")
     ends = points.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
     width = F.greatest(F.col("high") - F.col("low"), F.lit(1e-300))
     placed = points.crossJoin(F.broadcast(ends)).withColumn("bucket", F.floor((F.col("score") - F.col("low")) / width * BUCKETS))

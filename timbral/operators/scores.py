@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timbral.functions import batches
 from timbral.functions import vectors as V
+from timbral.functions.batches import on_signals
 
 #: Weights and ideal ranges of the micro-modulation score.
 MICRO = {"pitch": (0.3, 0.7, 0.95), "envelope": (0.15, 0.05, 0.2), "tremor": (0.15, 0.01, 0.1), "jitter": (0.2, 0.005, 0.02), "shimmer": (0.2, 0.04, 0.2)}
@@ -103,16 +106,11 @@ def peaks(rows: DataFrame, keys: list[str], place: str, value: str, height: floa
     """(keys, peaks) with the places of local maxima of `height` at least, ascending. A
     plateau counts once, at its middle. Of maxima nearer than `distance` the higher stays (of
     equal ones the later), the highest first. Ends are no maxima."""
-    w = Window.partitionBy(*keys).orderBy(place)
-    new = F.coalesce((F.col(value) != F.lag(value).over(w)).cast("int"), F.lit(1))
-    runs = rows.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    runs = runs.groupBy(*keys, "run").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.first(value).alias("top"))
-    by = Window.partitionBy(*keys).orderBy("run")
-    tops = runs.withColumns({"l": F.lag("top").over(by), "r": F.lead("top").over(by)}).where((F.col("top") > F.col("l")) & (F.col("top") > F.col("r")) & (F.col("top") >= height))
-    middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-    order = F.sort_array(F.collect_list(F.struct("top", middle.alias("at"))), asc=False)
-    taken = F.aggregate(F.col("all"), F.array().cast("array<int>"), lambda acc, p: F.when(F.forall(acc, lambda a: F.abs(a - p["at"]) >= distance), F.array_append(acc, p["at"])).otherwise(acc))
-    return tops.groupBy(*keys).agg(order.alias("all")).select(*keys, F.array_sort(taken).alias("peaks"))
+    cell = F.struct(F.col(place).alias("at"), F.col(value).cast("double").alias("v"))
+    whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    kernel = on_signals(lambda x: {"at": [batches.peaks(r, height, distance) for r in x]}, at="longs")
+    found = whole.withColumn("found", kernel(F.transform("cells", lambda c: c["v"]))["at"]).where(F.size("found") > 0)
+    return found.select(*keys, F.transform("found", lambda i: F.get(F.col("cells"), i.cast("int"))["at"]).alias("peaks"))
 
 
 def wrapped(phase: Column) -> Column:
@@ -121,10 +119,23 @@ def wrapped(phase: Column) -> Column:
 
 
 def recursive_floor(track: Column, keep: float = 0.999) -> Column:
-    """Each value's floor, keep times the floor before and the rest of the value."""
-    first = F.struct(F.array(F.get(track, F.lit(0))).alias("out"), F.get(track, F.lit(0)).alias("last"))
-    step = lambda acc, x: V.let(keep * acc["last"] + (1 - keep) * x, lambda f: F.struct(F.array_append(acc["out"], f).alias("out"), f.alias("last")))
-    return F.aggregate(F.slice(track, F.lit(2), F.greatest(F.lit(0), F.size(track) - 1)), first, step, lambda acc: acc["out"])
+    """Each value's floor, keep times the floor before and the rest of the value; tracks of one
+    length advance together."""
+
+    def work(x: np.ndarray) -> dict:
+        out = x.copy()
+        for k in range(1, x.shape[1]):
+            out[:, k] = keep * out[:, k - 1] + (1 - keep) * x[:, k]
+        return {"floor": out}
+
+    return on_signals(work, floor="doubles")(track)["floor"]
+
+
+def uniform(secret: str, *keys: str) -> Column:
+    """A number between -0.5 and 0.5, never the ends, from 48 bits of the SHA-256 of a secret and keys:
+    who does not know the secret cannot take the noise off again."""
+    digest = F.sha2(F.concat_ws(":", F.lit(secret), *[F.col(k).cast("string") for k in keys]), 256)
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48) - 0.5
 
 
 def laplace(uniform: Column, scale: float) -> Column:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timbral.functions import vectors as V
+from timbral.tables import written
+
+#: Speakers that are sent to all tasks at once.
+GALLERY = 1 << 16
 
 #: Weights of the liveness components.
 LIVENESS_WEIGHTS = {"breathing": 0.15, "micro_modulation": 0.2, "resonance": 0.2, "environment": 0.25, "spectrum": 0.2}
@@ -72,10 +78,18 @@ def verify(attempts: DataFrame, enrolled: DataFrame, speaker: str, vec: str) ->
 
 
 def identify(attempts: DataFrame, enrolled: DataFrame, speaker: str, vec: str, keep: list[str]) -> DataFrame:
-    """Each attempt against every enrolled speaker. There are few speakers in a gallery;
-    a larger gallery than memory holds is a nested loop by its nature."""
+    """Each attempt against every enrolled speaker, attempts x speakers rows by its nature. The
+    gallery is counted; blocks of GALLERY speakers at most are sent to the tasks, one plan a block."""
     gallery = enrolled.select(F.col(speaker).alias("candidate"), "centroid")
-    return attempts.crossJoin(gallery).select(*keep, speaker, "candidate", V.cosine(V.doubles(F.col(vec)), F.col("centroid")).alias("similarity"))
+    size = gallery.count()
+    blocks = max(1, -(-size // GALLERY))
+    if blocks > 1:
+        gallery = written(gallery, "gallery").withColumn("block", F.pmod(F.xxhash64("candidate"), F.lit(2 * blocks)))
+        parts = [gallery.where(F.col("block") == b).drop("block") for b in range(2 * blocks)]
+    else:
+        parts = [gallery]
+    score = V.cosine(V.doubles(F.col(vec)), F.col("centroid")).alias("similarity")
+    return reduce(DataFrame.union, [attempts.crossJoin(F.broadcast(p)).select(*keep, speaker, "candidate", score) for p in parts])
 
 
 def policy(similarity: Column, spoof: Column, anomaly: Column, sequence_anomaly: Column, threshold: float = 0.7, spoof_threshold: float = 0.5, liveness_required: bool = True) -> Column:

@@ -124,11 +124,10 @@ def node_graph(spark, sf):
 
 @query(f"""with {SIG}, f as (select user_id, i, event_type <> 'error' as live from sig) select s.user_id, s.i as place, s.x as value, f.live from sig s join f on s.user_id = f.user_id and s.i = f.i""")
 def sample_liveness_zip(spark, sf):
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", F.col(c).alias("v")))), lambda p: p["v"])
-    rows = signal(spark, sf).withColumn("live", F.col("event_type") != "error")
-    both = rows.groupBy("user_id").agg(F.arrays_zip(ordered("x").alias("value"), ordered("live").alias("live")).alias("z"))
-    both = both.select("user_id", F.posexplode("z").alias("place", "p"))
-    return both.select("user_id", F.col("place").cast("long").alias("place"), F.col("p")["value"].alias("value"), F.col("p")["live"].alias("live"))
+    """Two tracks, met by user and place."""
+    rows = signal(spark, sf)
+    flags = rows.select("user_id", "i", (F.col("event_type") != "error").alias("live"))
+    return rows.select("user_id", "i", F.col("x").alias("value")).join(flags, ["user_id", "i"]).select("user_id", F.col("i").cast("long").alias("place"), "value", "live")
 
 
 @query(f"""with {FRAMES}, n as (select user_id, count(*) as nf from frames group by 1), s as (select user_id, event_id, i, count(*) over (partition by user_id) as n from sig)
@@ -185,7 +184,7 @@ def harmonic_artifacts(spark, sf):
     spectrum = cells.groupBy("label", "i").agg(F.avg(F.abs("v")).alias("m"))
     spectrum = spectrum.withColumn("v", F.round(F.col("m") / F.max("m").over(Window.partitionBy("label")), 9))
     found = scores.peaks(spectrum, ["label"], "i", "v", 0.1, 5).where(F.size("peaks") > 3)
-    gaps = found.select("label", F.explode(F.zip_with(F.slice("peaks", 2, 1000000), F.slice(F.col("peaks"), F.lit(1), F.size("peaks") - 1), lambda a, b: a - b)).alias("gap"))
+    gaps = found.select("label", F.explode(F.zip_with(F.slice(F.col("peaks"), F.lit(2), F.size("peaks") - 1), F.slice(F.col("peaks"), F.lit(1), F.size("peaks") - 1), lambda a, b: a - b)).alias("gap"))
     return gaps.groupBy("label").agg(r6(1 - F.least(F.lit(1.0), F.stddev_pop("gap") / F.avg("gap"))).alias("artifacts"))
 
 
@@ -303,14 +302,15 @@ p as (select vec_id as a, lead(vec_id) over (partition by label order by vec_id)
 {CELLS}, n as (select vec_id, sqrt(sum(v * v)) as n from cells group by 1)
 select a, b, genuine, round(sum(x.v * y.v) / (max(m.n) * max(q.n)), 6) as similarity from p join cells x on x.vec_id = a join cells y on y.vec_id = b and x.i = y.i join n m on m.vec_id = a join n q on q.vec_id = b where b is not null group by 1, 2, 3""")
 def trial_pairs(spark, sf):
-    vectors = table(spark, sf, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("vec"))
+    """Only ids are placed by label; vectors are joined to the pairs by id."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("vec"))
     own = Window.partitionBy("label").orderBy("vec_id")
-    placed = vectors.withColumn("k", F.row_number().over(own))
-    other = F.struct("vec_id", "vec")
-    same = placed.withColumn("o", F.lead(other).over(own)).withColumn("genuine", F.lit(True))
-    unlike = placed.withColumn("o", F.lead(other).over(Window.partitionBy("k").orderBy("label"))).withColumn("genuine", F.lit(False))
-    both = same.union(unlike).where("o is not null")
-    return both.select(F.col("vec_id").alias("a"), F.col("o.vec_id").alias("b"), "genuine", r6(V.cosine(F.col("vec"), F.col("o.vec"))).alias("similarity"))
+    placed = table(spark, sf, "embeddings").select("vec_id", "label").withColumn("k", F.row_number().over(own))
+    same = placed.select(F.col("vec_id").alias("a"), F.lead("vec_id").over(own).alias("b"), F.lit(True).alias("genuine"))
+    unlike = placed.select(F.col("vec_id").alias("a"), F.lead("vec_id").over(Window.partitionBy("k").orderBy("label")).alias("b"), F.lit(False).alias("genuine"))
+    pairs = same.union(unlike).where("b is not null")
+    both = pairs.join(vectors.toDF("a", "x"), "a").join(vectors.toDF("b", "y"), "b")
+    return both.select("a", "b", "genuine", r6(V.cosine(F.col("x"), F.col("y"))).alias("similarity"))
 
 
 @query("select doc_id from documents order by md5('subset 42 ' || doc_id), doc_id limit 100")
@@ -407,14 +407,15 @@ def distillation_loss(spark, sf):
     return rows.groupBy("vec_id").agg(r6(0.5 * hard + 0.5 * 9 * soft).alias("loss"))
 
 
-@query("""with u as (select l_orderkey, l_linenumber, l_extendedprice as g, (l_orderkey * 7919 + l_linenumber * 104729) % 10007 / 10008.0::double - 0.4999::double as u, sqrt(sum(l_extendedprice * l_extendedprice) over (partition by l_suppkey)) as norm from lineitem)
-select l_orderkey, l_linenumber, round(sum(g * least(1, 1 / norm) - 2 * sign(u) * ln(1 - 2 * abs(u))), 5) as noisy from u group by 1, 2""")
+@query("""with u as (select l_orderkey, l_linenumber, l_suppkey, l_extendedprice as g, (('0x' || substr(sha256('secret:' || l_orderkey || ':' || l_linenumber), 1, 12))::bigint + 0.5::double) / 281474976710656::double - 0.5::double as u from lineitem),
+n as (select l_suppkey, sqrt(sum(g * g)) as norm from u group by 1)
+select l_orderkey, l_linenumber, round(sum(g * least(1, 1 / norm) - 2 * sign(u) * ln(1 - 2 * abs(u))), 5) as noisy from u join n using (l_suppkey) group by 1, 2""")
 def laplace_gradients(spark, sf):
-    u = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 10007 / 10008.0 - 0.4999
-    norm = F.sqrt(F.sum(F.col("l_extendedprice") ** 2).over(Window.partitionBy("l_suppkey")))
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("g"), u.alias("u"), norm.alias("norm"))
-    noisy = F.col("g") * F.least(F.lit(1.0), 1 / F.col("norm")) + scores.laplace(F.col("u"), 2.0)
-    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.round(F.sum(noisy), 5).alias("noisy"))
+    """Clipped to norm 1 by supplier, with noise drawn from a secret and the row's key."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_extendedprice").alias("g"))
+    norms = rows.groupBy("l_suppkey").agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("norm"))
+    noisy = F.col("g") * F.least(F.lit(1.0), 1 / F.col("norm")) + scores.laplace(scores.uniform("secret", "l_orderkey", "l_linenumber"), 2.0)
+    return rows.join(norms, "l_suppkey").groupBy("l_orderkey", "l_linenumber").agg(F.round(F.sum(noisy), 5).alias("noisy"))
 
 
 @query("""with c as (select item_id, item_id % 3 as op, case item_id % 3 when 0 then 10 + item_id * 7 % 90 when 1 then 50 + item_id * 7 % 50 else 5 + item_id * 7 % 11 end as a, item_id * 13 as h from benchmark),
