@@ -170,3 +170,71 @@ def tube_model(rate: float, sections: int = 8):
         return {"lpc": a, "reflection": k, "areas": tube_areas(k), "formants": resonances(a, rate)}
 
     return on_signals(work, least=2, lpc="doubles", reflection="doubles", areas="doubles", formants="doubles")
+
+
+def lpc_residual(order: int = 24):
+    """F18b as a column function: struct(residual, lpc): the signal through the filter that its windowed
+    self is predicted by; the first `order` samples are 0."""
+
+    def work(x: np.ndarray) -> dict:
+        a = burg(x * np.hamming(x.shape[1]), order)
+        rest = inverse_filtered(x, a)
+        rest[:, :order] = 0
+        return {"residual": rest, "lpc": a}
+
+    return on_signals(work, least=2, residual="doubles", lpc="doubles")
+
+
+def basic_formants(rate: float, order: int = 12, most: int = 3):
+    """F17 as a column function: struct(lpc, formants) of a whole signal."""
+
+    def work(x: np.ndarray) -> dict:
+        a = burg(x, order)
+        return {"lpc": a, "formants": resonances(a, rate, most)}
+
+    return on_signals(work, least=2, lpc="doubles", formants="doubles")
+
+
+def sharp_formants(frames: np.ndarray, rate: float, most: int = 4, emphasis: float = 0.97) -> tuple[list, list]:
+    """(frequencies, bandwidths) of frames' up to `most` lowest resonances within 0.99 of the
+    unit circle, by prediction of order 2 and one for each 1,000 samples a second."""
+    raised = np.concatenate([frames[:, :1], frames[:, 1:] - emphasis * frames[:, :-1]], axis=1)
+    a = burg(raised * np.hamming(frames.shape[1]), 2 + int(rate // 1000))
+    f, b = [], []
+    for z in map(np.roots, a):
+        z = z[(z.imag > 0) & (np.abs(z) < 0.99)]
+        z = z[np.argsort(np.angle(z))][:most]
+        f.append(np.angle(z) * rate / (2 * np.pi))
+        b.append(-np.log(np.maximum(np.abs(z), 1e-12)) * rate / np.pi)
+    return f, b
+
+
+def formants_with_widths(rate: float, most: int = 4):
+    """F28b, F28c as a column function of frames: struct(frequency, width)."""
+    return on_signals(lambda x: dict(zip(("frequency", "width"), sharp_formants(x, rate, most), strict=True)), least=4, frequency="doubles", width="doubles")
+
+
+def falls(height: float = 0.1):
+    """Candidates of closures: struct(at): peaks of the negative slope of at least `height` of the
+    steepest, as a column function."""
+
+    def work(x: np.ndarray) -> dict:
+        slope = -np.diff(x, axis=1, prepend=x[:, :1])
+        return {"at": [peaks(s, height * s.max(initial=0.0)) for s in slope]}
+
+    return on_signals(work, at="longs")
+
+
+def closed_phase_formants(signals: DataFrame, keys: list[str], signal: str, f0: str, hop: int, rate: float, share: float = 0.3, least: int = 20) -> DataFrame:
+    """(keys, k, formant, cycles): the mean of each of up to three formants over the closed phases of
+    a signal: the first `share` of each cycle between closures that fit the pitch track f0 (a value a
+    hop), of `least` samples or more. Cycles with fewer formants count for those they have."""
+    found = signals.select(*keys, F.col(signal).alias("x"), refine_closures(hop, rate)(falls()(F.col(signal))["at"], F.col(f0)).alias("c")).where("c is not null")
+    inner = F.greatest(F.size("c") - 1, F.lit(0))
+    bounds = F.arrays_zip(F.slice(F.col("c"), F.lit(1), inner).alias("a"), F.slice(F.col("c"), F.lit(2), inner).alias("b"))
+    sized = F.transform(bounds, lambda p: F.struct(p["a"].alias("a"), F.floor((p["b"] - p["a"]) * share).alias("n")))
+    cut = F.transform(F.filter(sized, lambda p: p["n"] >= least), lambda p: F.slice(F.col("x"), (p["a"] + 1).cast("int"), p["n"].cast("int")))
+    phases = found.select(*keys, F.explode(cut).alias("phase"))
+    kernel = on_signals(lambda x: {"f": resonances(burg(x * np.hamming(x.shape[1]), min(12, x.shape[1] - 1)), rate)}, least=4, f="doubles")
+    rows = phases.select(*keys, F.posexplode(kernel(F.col("phase"))["f"]).alias("k", "f"))
+    return rows.groupBy(*keys, "k").agg(F.avg("f").alias("formant"), F.count("*").alias("cycles"))

@@ -151,3 +151,10 @@ def select_samples(rows: DataFrame, sample: str, uncertainty: str, vec: str, k:
     if method == "hybrid":
         return representatives(rows.orderBy(F.desc(uncertainty), sample).limit(2 * k), sample, vec, k, seed).select(sample)
     raise ValueError("method is uncertainty, diversity, hybrid or random")
+
+
+def retraining_samples(rows: DataFrame, sample: str, uncertainty: str, vec: str, attributes: list[str], k: int, method: str = "hybrid", diverse: bool = True, seed: int = 0) -> DataFrame:
+    """The rows of select_samples(), and of those, if `diverse`, what each group of attributes is
+    allotted of k."""
+    chosen = rows.join(select_samples(rows, sample, uncertainty, vec, k, method, seed), sample, "left_semi")
+    return diverse_sample(chosen, sample, attributes, k, seed) if diverse else chosen
