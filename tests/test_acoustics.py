@@ -69,6 +69,16 @@ def test_zero_phase():
     assert filters.zero_phase(np.ones((2, 1)), d).shape == (2, 1) and np.abs(filters.zero_phase(np.ones((1, 300)), d)).max() < 1e-9
 
 
+def test_filters_through_spectra(monkeypatch):
+    x = RNG.normal(size=(3, 700)) + 1
+    for d in (filters.band_pass(4, 85, 255, 16000), filters.low_pass(3, 900, 16000), filters.high_pass(2, 50, 16000)):
+        assert np.allclose(filters.filtered(x, d), filters.section_filter(x, d), atol=1e-10)
+        own = filters.zero_phase(x, d)
+        monkeypatch.setattr(filters, "LONGEST_TAIL", 0)
+        assert np.allclose(filters.zero_phase(x, d), own, atol=1e-9)
+        monkeypatch.undo()
+
+
 def test_breathing_rate():
     """A loudness that swells 15 times a minute breathes at that rate."""
     rate, t = 400, np.arange(400 * 60) / 400

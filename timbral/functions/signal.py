@@ -28,11 +28,11 @@ def _per_frame(kernel):
 
     @F.pandas_udf(DOUBLES)
     def run(frames: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(frames), dtype=object)
+        out: list = [None] * len(frames)
         for rows, x in _stacked(frames):
             for i, y in zip(rows, kernel(x), strict=True):
-                out.iat[i] = y
-        return out
+                out[i] = y
+        return pd.Series(out, dtype=object)
 
     return run
 

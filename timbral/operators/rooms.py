@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timbral.functions.batches import KINDS, on_signals
-from timbral.functions.filters import band_pass, section_filter
+from timbral.functions.filters import band_pass, filtered
 
 SOUND = 343.0
 #: Centres in Hz of the octave bands.
@@ -138,7 +138,7 @@ def reverberation(rate: float, bands: tuple[float, ...] = OCTAVES):
     designs = [band_pass(4, b / math.sqrt(2), b * math.sqrt(2), rate) if b * math.sqrt(2) < rate / 2 else None for b in bands]
 
     def work(h: np.ndarray) -> dict:
-        own = [[None] * len(h) if d is None else decay_time(section_filter(h, d), rate) for d in designs]
+        own = [[None] * len(h) if d is None else decay_time(filtered(h, d), rate) for d in designs]
         return {"whole": decay_time(h, rate), "bands": [list(r) for r in zip(*own, strict=True)]}
 
     return on_signals(work, whole="double", bands="doubles")

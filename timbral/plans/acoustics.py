@@ -45,9 +45,31 @@ def wavelet_round_trip(spark, sf):
     return each(voices(spark, sf).select("user_id", wavelets.wavelet_denoise(scale=0.0)(F.col("x"))["y"].alias("y")), "y", "y")
 
 
-@query()
+#: The published db4 filter.
+DB4 = (0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.02798376941698385, -0.18703481171888114, 0.030841381835986965, 0.032883011666982945, -0.010597401784997278)
+
+
+def denoise_sql(levels: int = 5) -> str:
+    """The pyramid level by level, the threshold from the coarsest one, and the way back."""
+    high = [(-1) ** j * h for j, h in enumerate(DB4)][::-1]
+    taps = ", ".join(f"({j}, {h!r}::double, {g!r}::double)" for j, (h, g) in enumerate(zip(DB4, high, strict=True)))
+    parts = [VOICE, f"taps(j, h, g) as (values {taps})", "a0 as (select user_id, i, n, x from voice)"]
+    for k in range(1, levels + 1):
+        parts.append(f"""p{k} as (select u.user_id, m.range as m, t.h, t.g, u.n, ((2 * m.range - 6 + t.j) % (2 * u.n) + 2 * u.n) % (2 * u.n) as r from (select distinct user_id, n, unnest(range(0, (n + 7) // 2)) as range from a{k - 1}) m, taps t, (select distinct user_id, n from a{k - 1}) u where u.user_id = m.user_id),
+c{k} as (select p.user_id, p.m as i, (any_value(p.n) + 7) // 2 as n, sum(h * x) as x, sum(g * x) as d from p{k} p join a{k - 1} a on a.user_id = p.user_id and a.i = case when r < p.n then r else 2 * p.n - 1 - r end group by 1, 2),
+a{k} as (select user_id, i, n, x from c{k})""")
+    parts.append(f"s as (select c.user_id, median(abs(d)) / 0.6745 * sqrt(2 * ln(any_value(v.n))) as t from c{levels} c join (select distinct user_id, n from voice) v on v.user_id = c.user_id group by 1)")
+    parts.append(f"b{levels} as (select user_id, i, x from a{levels})")
+    for k in range(levels, 0, -1):
+        parts.append(f"""q{k} as (select c.user_id, c.i, b.x, sign(d) * greatest(abs(d) - t, 0) as d from c{k} c join b{k} b on b.user_id = c.user_id and b.i = c.i join s on s.user_id = c.user_id),
+b{k - 1} as (select q.user_id, 2 * q.i + t.j - 6 as i, sum(q.x * t.h + q.d * t.g) as x from q{k} q, taps t, (select distinct user_id, n from a{k - 1}) u where u.user_id = q.user_id and 2 * q.i + t.j - 6 between 0 and u.n - 1 group by 1, 2)""")
+    return f"with {', '.join(parts)} select user_id, cast(i as int) as i, round(x, 6) + 0 as y from b0"
+
+
+@query(denoise_sql())
 def wavelet_denoise(spark, sf):
-    return each(voices(spark, sf).select("user_id", wavelets.wavelet_denoise()(F.col("x"))["y"].alias("y")), "y", "y")
+    found = each(voices(spark, sf).select("user_id", wavelets.wavelet_denoise()(F.col("x"))["y"].alias("y")), "y", "y")
+    return found.withColumn("y", F.col("y") + 0)
 
 
 @query()
@@ -122,8 +144,8 @@ def multitaper_spectrum(spark, sf):
 
 
 #: Energy of one-sided transforms of windowed frames, by Parseval's theorem.
-PARSEVAL = f"""{VOICE}, fr as (select v.user_id, f.frame, v.i - f.frame * 4 as k, v.x * (0.5 - 0.5 * cos(2 * pi() * (v.i - f.frame * 4 + 1) / 17)) as x from voice v join range(100000) f(frame)
-  on f.frame <= v.i // 4 and v.i < f.frame * 4 + 16 and f.frame * 4 + 16 <= v.n), e as (select user_id, frame, (16 * sum(x * x) + power(sum(x), 2) + power(sum(case when k % 2 = 0 then x else -x end), 2)) / 2 as e from fr group by 1, 2)"""
+PARSEVAL = f"""{VOICE}, fr as (select v.user_id, f.frame, v.i - f.frame * 4 as k, v.x * (0.5 - 0.5 * cos(2 * pi() * (v.i - f.frame * 4 + 1) / 17)) as x from voice v join (select user_id, unnest(range(0, (n - 16) // 4 + 1)) as frame from voice where i = 0 and n >= 16) f
+  on f.user_id = v.user_id and v.i >= f.frame * 4 and v.i < f.frame * 4 + 16), e as (select user_id, frame, (16 * sum(x * x) + power(sum(x), 2) + power(sum(case when k % 2 = 0 then x else -x end), 2)) / 2 as e from fr group by 1, 2)"""
 
 
 @query(f"with {PARSEVAL} select user_id, round(sum(e), 4) as energy from e group by 1")
@@ -246,11 +268,33 @@ def channel_energy(spark, sf):
     return found.select("user_id", "event_type", r6("energy").alias("energy"), r6("ratio").alias("ratio"))
 
 
+def transform_sql(length: int, hop: int, n_fft: int, centre: bool) -> str:
+    """z(user_id, frame, b, re, im): transforms of Hann-windowed frames, around every hop-th sample or of
+    full frames only."""
+    start = f"fs.frame * {hop}" + (f" - {length // 2}" if centre else "")
+    count = f"(n + {hop - length + 2 * (length // 2)}) // {hop} + 1" if centre else f"greatest(0, (n - {length}) // {hop} + 1)"
+    return f"""{VOICE}, fs as (select user_id, unnest(range(0, {count})) as frame from voice where i = 0 {"" if centre else f"and n >= {length}"}),
+fw as (select v.user_id, fs.frame, v.i - ({start}) as j, v.x * (0.5 - 0.5 * cos(2 * pi() * (v.i - ({start})) / {length})) as x from voice v join fs on fs.user_id = v.user_id and v.i >= {start} and v.i < {start} + {length}),
+zz as (select user_id, frame, b.range as b, sum(x * cos(2 * pi() * j * b.range / {n_fft})) as re, -sum(x * sin(2 * pi() * j * b.range / {n_fft})) as im from fw, range({n_fft // 2 + 1}) b group by 1, 2, 3),
+z as (select fs.user_id, fs.frame, b.range as b, coalesce(re, 0) as re, coalesce(im, 0) as im from fs cross join range({n_fft // 2 + 1}) b left join zz on zz.user_id = fs.user_id and zz.frame = fs.frame and zz.b = b.range)"""
+
+
+def mel_sql(rate: int, n_fft: int, bands: int) -> str:
+    """mel(k, b, w): triangles evenly spaced on the mel scale."""
+    edge = lambda k: f"(700 * (power(10, ({k}) * 2595 * log10(1 + {rate} / 1400.0::double) / {bands + 1} / 2595) - 1))"
+    f = f"(b.range * {rate} / {n_fft}.0::double)"
+    up, down = f"({f} - {edge('k.range')}) / ({edge('k.range + 1')} - {edge('k.range')})", f"({edge('k.range + 2')} - {f}) / ({edge('k.range + 2')} - {edge('k.range + 1')})"
+    return f"mel as (select k.range as k, b.range as b, greatest(0, least({up}, {down})) as w from range({bands}) k, range({n_fft // 2 + 1}) b)"
+
+
+MFCC = f"""{transform_sql(32, 8, 64, False)}, {mel_sql(RATE, 64, 20)}, e as (select user_id, frame, k, ln(sum((re * re + im * im) * w) + 1e-10) as e from z join mel using (b) group by 1, 2, 3)"""
+
+
 def voice_frames(spark: SparkSession, sf: str, length: int, hop: int) -> DataFrame:
     return voices(spark, sf).select("user_id", F.posexplode(frames(F.col("x"), length, hop)).alias("frame", "x"))
 
 
-@query()
+@query(f"""with {MFCC} select user_id, cast(frame as int) as frame, cast(c.range as int) as k, round(sum(e * cos(pi() * c.range * (2 * k + 1) / 40)) * sqrt(case when c.range = 0 then 1 else 2 end / 20.0::double) * (1 + 11 * sin(pi() * c.range / 22)), 6) as mfcc from e, range(13) c group by 1, 2, c.range""")
 def mfcc_frames(spark, sf):
     found = voice_frames(spark, sf, 32, 8).select("user_id", "frame", S.mfcc(RATE, 64, 20, 13)(F.col("x")).alias("m"))
     return found.select("user_id", "frame", F.posexplode("m").alias("k", "mfcc")).select("user_id", "frame", "k", r6("mfcc").alias("mfcc"))

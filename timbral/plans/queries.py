@@ -498,15 +498,6 @@ def session_state(spark, sf):
     return found.select("user_id", "state", F.col("attempts").cast("long").alias("attempts"))
 
 
-@query()
-def text_similarity(spark, sf):
-    turns = table(spark, sf, "conversations")
-    prompts = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("asked"), F.col("text").alias("prompt"))
-    answers = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("asked"), F.col("text").alias("response"))
-    ratio = T.sequence_ratio(T.normalize_text(F.col("prompt")), T.normalize_text(F.col("response")))
-    return prompts.join(answers, ["conv_id", "asked"]).select("conv_id", "asked", r6(ratio).alias("ratio"))
-
-
 @query("select event_id, round(0.5 - abs(round(value / (1 + value), 6) - 0.5), 6) as uncertainty from events order by 2 desc, 1 limit 100")
 def uncertainty_topk(spark, sf):
     found = learning.uncertainty_topk(table(spark, sf, "events"), "event_id", r6(F.col("value") / (1 + F.col("value"))), 100)

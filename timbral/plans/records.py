@@ -42,7 +42,7 @@ def octave_correction(spark, sf):
     return each(found, "f", "f0")
 
 
-SPANS = f"""{VOICE}, f as (select user_id, k.range as k, sqrt(sum(case when i between k.range * 4 - 4 and k.range * 4 + 3 then x * x else 0 end) / 8) as rms, any_value(n) as n from voice, range(100000) k where k.range <= n // 4 and i between k.range * 4 - 4 and k.range * 4 + 3 group by 1, 2),
+SPANS = f"""{VOICE}, h as (select user_id, unnest(range(0, n // 4 + 1)) as k from voice where i = 0), f as (select v.user_id, h.k, sqrt(sum(x * x) / 8) as rms, any_value(n) as n from h join voice v on v.user_id = h.user_id and i between h.k * 4 - 4 and h.k * 4 + 3 group by 1, 2),
 l as (select *, rms > max(rms) over (partition by user_id) * power(10, -0.3::double) as loud from f), g as (select *, k - row_number() over (partition by user_id order by k) as island from l where loud),
 s as (select user_id, min(k) * 4 as a, least(max(k) * 4 + 4, any_value(n)) as b from g group by user_id, island)"""
 

@@ -10,7 +10,7 @@ from timbral.functions import normalization, rhythm, spectra
 from timbral.functions import text as T
 from timbral.functions.signal import magnitude_spectrum
 from timbral.operators import challenges, evaluation, fingerprint, gaussian, learning
-from timbral.plans.acoustics import RATE, SLOW, each, voice_frames, voices
+from timbral.plans.acoustics import RATE, SLOW, each, transform_sql, voice_frames, voices
 from timbral.plans.queries import CELLS, query, r6
 from timbral.session import table
 
@@ -224,7 +224,11 @@ def power_cepstra(spark, sf):
     return found.select("user_id", F.posexplode("p").alias("frame", "p")).select("user_id", "frame", F.posexplode("p").alias("k", "pncc")).select("user_id", "frame", "k", r6("pncc").alias("pncc"))
 
 
-@query()
+BARK = "(13 * atan(0.00076 * {0} * 250) + 3.5 * atan(power({0} * 250 / 7500.0::double, 2)))"
+
+
+@query(f"""with {transform_sql(32, 16, 64, False)}, s as (select a.range as a, b.range as b, greatest(0, 1 - abs({BARK.format("a.range")} - {BARK.format("b.range")}) / 0.5) as w from range(33) a, range(33) b)
+select user_id, cast(frame as int) as frame, cast(a as int) as bin, round(0.1::double * sum(sqrt(re * re + im * im) * w), 6) as threshold from z join s using (b) group by 1, 2, 3""")
 def masking_threshold(spark, sf):
     found = voice_frames(spark, sf, 32, 16).select("user_id", "frame", spectra.masking(RATE, 64)(magnitude_spectrum(64)(F.col("x")))["threshold"].alias("t"))
     return found.select("user_id", "frame", F.posexplode("t").alias("bin", "threshold")).select("user_id", "frame", "bin", r6("threshold").alias("threshold"))

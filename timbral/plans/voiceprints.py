@@ -10,7 +10,7 @@ from timbral.functions import decompose, glottal
 from timbral.functions import signal as S
 from timbral.functions import vectors as V
 from timbral.operators import enrolment, learning, process
-from timbral.plans.acoustics import RATE, VOICE, each, voice_frames, voices
+from timbral.plans.acoustics import RATE, VOICE, each, mel_sql, transform_sql, voice_frames, voices
 from timbral.plans.queries import CELLS, query, r6, similarities
 from timbral.session import table
 from timbral.tables import shared_folder
@@ -22,17 +22,27 @@ def cells(found, column: str, name: str):
     return rows.select("user_id", "frame", "k", r6(name).alias(name))
 
 
-@query()
+@query(f"""with {transform_sql(32, 8, 32, True)}, c as (select user_id, frame, ((cast(round_even(12 * log2(b * 62.5::double / 440), 0) as bigint) + 9) % 12 + 12) % 12 as k, sum(re * re + im * im) as e from z where b > 0 group by 1, 2, 3),
+w as (select fs.user_id, fs.frame, k.range as k, coalesce(e, 0) as e from fs cross join range(12) k left join c on c.user_id = fs.user_id and c.frame = fs.frame and c.k = k.range), m as (select *, max(e) over (partition by user_id, frame) as top from w)
+select user_id, cast(frame as int) as frame, cast(k as int) as k, round(case when top > 0 then e / top else 0 end, 6) as energy from m""")
 def pitch_classes(spark, sf):
     return cells(voices(spark, sf).select("user_id", decompose.pitch_classes(2000, 32, 8)(F.col("x"))["chroma"].alias("c")), "c", "energy")
 
 
-@query()
+@query(f"""with {transform_sql(32, 8, 32, True)}, {mel_sql(RATE, 32, 10)} select user_id, cast(frame as int) as frame, cast(k as int) as k, round(10 * log10(greatest(sum((re * re + im * im) * w), 1e-10)), 6) as level from z join mel using (b) group by 1, 2, 3""")
 def log_mel_frames(spark, sf):
     return cells(voices(spark, sf).select("user_id", decompose.log_mel(RATE, 32, 8, 10)(F.col("x"))["mel"].alias("m")), "m", "level")
 
 
-@query()
+#: Sums under Hann windows of as many cycles as tell semitones apart, around every eighth sample.
+CONSTANT_Q = f"""{VOICE}, b as (select range as k, 65.40639132514966::double * power(2, range / 12.0::double) as f from range(36)),
+l as (select *, greatest(3, cast(ceil(2000 / f / (power(2, 1 / 12.0::double) - 1)) as bigint) + 1 - cast(ceil(2000 / f / (power(2, 1 / 12.0::double) - 1)) as bigint) % 2) as n from b),
+s as (select l.k, sum(0.5 - 0.5 * cos(2 * pi() * (t.range + 1) / (l.n + 1))) as total from l, range(1000) t where t.range < l.n group by 1),
+c as (select user_id, unnest(range(0, n // 8 + 1)) as range from voice where i = 0),
+q as (select v.user_id, c.range as frame, l.k, 2 / s.total * (0.5 - 0.5 * cos(2 * pi() * (v.i - c.range * 8 + l.n // 2 + 1) / (l.n + 1))) * v.x as x, 2 * pi() * l.f * (v.i - c.range * 8) / 2000 as p from voice v join c on c.user_id = v.user_id, l join s on s.k = l.k where abs(v.i - c.range * 8) <= l.n // 2)"""
+
+
+@query(f"with {CONSTANT_Q} select user_id, cast(frame as int) as frame, cast(k as int) as k, round(sqrt(power(sum(x * cos(p)), 2) + power(sum(x * sin(p)), 2)), 6) as size from q group by 1, 2, 3")
 def constant_q(spark, sf):
     return cells(voices(spark, sf).select("user_id", decompose.constant_q(2000, 8, bins=36, per_octave=12)(F.col("x"))["size"].alias("q")), "q", "size")
 
