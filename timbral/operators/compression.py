@@ -42,14 +42,14 @@ def compress_round(updates: DataFrame, residuals: DataFrame | None = None, metho
     topk sends each client's max(1, floor(share n)) largest of a parameter's n places, of equals the
     first; quantize sends multiples of the largest over 2^(bits-1) - 1, half to even. A place with
     a residual and no update counts as updated by 0, and the other way round; null values are 0.
+    Other columns of the residuals stay, null at new places.
     A client's places of one parameter, which its model bounds, are ranked in one task.
     """
     rows = updates.select(*KEYS, F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
     if residuals is None:
         joined = rows.withColumn("corrected", F.round("value", PLACES))
     else:
-        old = residuals.select(*KEYS, F.col("residual").alias("before"))
-        joined = rows.join(old, KEYS, "full").withColumn("value", F.coalesce("value", F.lit(0.0)))
+        joined = rows.join(residuals.withColumnRenamed("residual", "before"), KEYS, "full").withColumn("value", F.coalesce("value", F.lit(0.0)))
         joined = joined.withColumn("corrected", F.round(F.col("value") + F.coalesce("before", F.lit(0.0)), PLACES)).drop("before")
     value = F.col("corrected")
     if method == "topk":
@@ -93,18 +93,14 @@ def decompress(messages: DataFrame, method: str = "topk") -> DataFrame:
 def compress_rounds(updates: DataFrame, rounds: list, round_col: str = "round", method: str = "topk", share: float = 0.1, bits: int = 8) -> DataFrame:
     """Rounds one after another: (client, param, place, plain, sent, residual): sums over all of them
     and the last residual; plain = sent + residual. Each round reads the state once."""
+    if not rounds:
+        raise ValueError("no rounds")
     state = None
     for r in rounds:
-        now = compress_round(updates.where(F.col(round_col) == F.lit(r)), None if state is None else state.select(*KEYS, "residual"), method, share, bits)
-        if state is None:
-            state = now.select(*KEYS, F.col("value").alias("plain"), "sent", "residual")
-        else:
-            old = state.select(*KEYS, F.col("plain").alias("old_plain"), F.col("sent").alias("old_sent"))
-            joined = now.join(old, KEYS, "left")
-            state = joined.select(*KEYS, (F.col("value") + F.coalesce("old_plain", F.lit(0.0))).alias("plain"), (F.col("sent") + F.coalesce("old_sent", F.lit(0.0))).alias("sent"), "residual")
-    if state is None:
-        raise ValueError("no rounds")
-    return state
+        now = compress_round(updates.where(F.col(round_col) == F.lit(r)), state, method, share, bits)
+        before = {c: F.coalesce(F.col(c), F.lit(0.0)) if state is not None else F.lit(0.0) for c in ("all_plain", "all_sent")}
+        state = now.select(*KEYS, "residual", (before["all_plain"] + F.col("value")).alias("all_plain"), (before["all_sent"] + F.col("sent")).alias("all_sent"))
+    return state.select(*KEYS, F.col("all_plain").alias("plain"), F.col("all_sent").alias("sent"), "residual")
 
 
 def compressed_values(values: np.ndarray, method: str, share: float, bits: int) -> np.ndarray:
