@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timbral.functions import measures, spectra
-from timbral.operators import scores
+from timbral.operators import learning, scores
 from timbral.sources import logs
 
 RNG = np.random.default_rng(8)
@@ -127,3 +127,14 @@ def test_metadata_and_report(spark):
         lines.setdefault(r.id, []).append(r.value)
     assert lines[1][4:7] == ["| all | 0.512 |", "| 125 | 0.400 |", "| 250 | N/A |"] and lines[1][8:] == ["- LAeq: 33.3 dB(A)", "- IACC: 0.900", "- time difference: 1.50 ms"]
     assert lines[2][4:7] == ["| all | N/A |", "| 125 | N/A |", "| 250 | N/A |"] and lines[2][-1] == "- LAeq: N/A dB(A)"
+
+
+def test_private_updates(spark):
+    """Clipped values plus noise of the deviation that was asked for, the same again from the same secret."""
+    table = spark.range(20_000).select("id", (F.col("id") % 2).alias("c"), F.lit(1.0).alias("v"))
+    found = learning.private_updates(table, "c", ["id"], "v", 1.0, 1.0, 1e-5, "s").toPandas()
+    again = learning.private_updates(table.repartition(5), "c", ["id"], "v", 1.0, 1.0, 1e-5, "s").toPandas()
+    sigma = np.sqrt(2 * np.log(1.25e5))
+    noise = found.noisy - 1 / np.sqrt(10_000)
+    assert abs(noise.mean()) < 0.1 and noise.std() == pytest.approx(sigma, rel=0.02) and abs((noise.abs() < sigma).mean() - 0.6827) < 0.015
+    assert np.array_equal(found.sort_values("id").noisy, again.sort_values("id").noisy) and list(found.columns) == ["id", "c", "v", "noisy"] or set(found.columns) == {"id", "c", "v", "noisy"}

@@ -158,3 +158,15 @@ def retraining_samples(rows: DataFrame, sample: str, uncertainty: str, vec: str,
     allotted of k."""
     chosen = rows.join(select_samples(rows, sample, uncertainty, vec, k, method, seed), sample, "left_semi")
     return diverse_sample(chosen, sample, attributes, k, seed) if diverse else chosen
+
+
+def private_updates(updates: DataFrame, client: str, keys: list[str], value: str, limit: float, epsilon: float, delta: float, secret: str) -> DataFrame:
+    """Updates with `noisy`: each client's values clipped to the norm `limit`, plus Gaussian noise
+    of the deviation gaussian_sigma() gives, drawn from a secret and the row's keys (which must tell rows
+    apart, or equal keys get equal noise). Null values stay null."""
+    from timbral.operators import scores
+
+    u, v = (scores.uniform(f"{secret}:{part}", *keys) + 0.5 for part in ("size", "turn"))
+    noise = F.sqrt(-2 * F.log(u)) * F.cos(2 * 3.141592653589793 * v)
+    clipped = clip_norm(updates, client, value, limit)
+    return clipped.withColumn("noisy", F.col("clipped") + noise * gaussian_sigma(limit, epsilon, delta)).drop("clipped", "norm")

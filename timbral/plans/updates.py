@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbral.operators import compression
+from timbral.operators import compression, learning
 from timbral.plans.queries import query
 from timbral.session import table
 
@@ -51,3 +51,17 @@ def decompressed_round(spark, sf):
     """The first round's messages, and what the receiver makes of them."""
     sent = compression.message(compression.compress_round(updates(spark, sf).where("round = 1")))
     return compression.decompress(sent).select("client", "param", "place", (F.round("value", 6) + 0).alias("value"))
+
+
+def secret_sql(part: str) -> str:
+    """A uniform number in SQL from 48 bits of a digest of secret, part and key."""
+    return f"((('0x' || substr(sha256('hush:{part}:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey), 1, 12))::bigint + 0.5::double) / 281474976710656::double)"
+
+
+@query(f"""with n as (select l_suppkey, sqrt(sum(l_discount * l_discount)) as norm from lineitem group by 1)
+select l_orderkey, l_linenumber, round(sum(l_discount * least(1, 0.5 / (norm + 1e-10)) + sqrt(-2 * ln({secret_sql("size")})) * cos(2 * pi() * {secret_sql("turn")}) * (0.5 * sqrt(2 * ln(1.25 / 1e-5)) / 0.8)), 5) + 0 as noisy from lineitem join n using (l_suppkey) group by 1, 2""")
+def gaussian_gradients(spark, sf):
+    """Discounts clipped to norm 0.5 by supplier, with Gaussian noise at epsilon 0.8 and delta 1e-5."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_discount").alias("v"))
+    found = learning.private_updates(rows, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"], "v", 0.5, 0.8, 1e-5, "hush")
+    return found.groupBy("l_orderkey", "l_linenumber").agg((F.round(F.sum("noisy"), 5) + 0).alias("noisy"))
