@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from timbral.functions import devices, filters, glottal, spectra, styles, voice
+from timbral.functions import augmentation, devices, filters, glottal, spectra, styles, voice
 
 RATE = 16000
 RNG = np.random.default_rng(2)
@@ -154,3 +154,9 @@ def test_columns_depend_on_their_seeds_alone(spark):
     some = spark.range(4000).select(styles.sometimes(F.array(F.lit(0.0)), F.array(F.lit(1.0)), F.col("id"), "a")[0].alias("a"), styles.sometimes(F.array(F.lit(0.0)), F.array(F.lit(1.0)), F.col("id"), "b", 0.25)[0].alias("b"))
     a, b, both = some.selectExpr("avg(a)", "avg(b)", "avg(a * b)").first()
     assert abs(a - 0.5) < 0.04 and abs(b - 0.25) < 0.04 and abs(both - 0.125) < 0.03
+
+
+def test_rooms_of_rows_differ(spark):
+    rows = spark.range(3).select(augmentation.synthetic_room(0.01, 1000, F.col("id")).alias("h"), augmentation.synthetic_room(0.01, 1000).alias("same")).collect()
+    assert len({tuple(r.h) for r in rows}) == 3 and len({tuple(r.same) for r in rows}) == 1
+    assert all(len(r.h) == 10 and r.h[0] == 1.0 and np.allclose(np.abs(r.h[1:]), 0.3 * np.exp(-6.907755278982137 * np.arange(1, 10) / 10)) for r in rows)

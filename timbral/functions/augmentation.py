@@ -75,11 +75,13 @@ def convolve_room(signal: pd.Series, response: pd.Series) -> pd.Series:
     return pd.Series([one(x, h) for x, h in zip(signal, response, strict=True)], dtype=object)
 
 
-def synthetic_room(rt60: float, rate: int) -> Column:
-    """An impulse response that falls by 60 dB in rt60 seconds, with hashed signs."""
+def synthetic_room(rt60: float, rate: int, row_seed: Column | None = None) -> Column:
+    """An impulse response that falls by 60 dB in rt60 seconds, with signs hashed from their place
+    and, where it is given, the row's seed."""
     n = max(1, int(rt60 * rate))
     decay = -6.907755278982137 / n
-    sign = lambda i: F.when(i == 0, 1.0).otherwise((F.pmod(F.xxhash64(i), F.lit(2)) * 2 - 1) * 0.3)
+    parts = [] if row_seed is None else [row_seed]
+    sign = lambda i: F.when(i == 0, 1.0).otherwise((F.pmod(F.xxhash64(*parts, i), F.lit(2)) * 2 - 1) * 0.3)
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: sign(i) * F.exp(i * decay))
 
 

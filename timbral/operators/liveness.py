@@ -69,6 +69,18 @@ def band_means(cells: DataFrame, keys: list[str], bin_col: str, value: str, band
     return wide.select(*keys, F.explode(F.array(*[F.col(f"m{k}") for k in range(len(bands))])).alias("b")).select(*keys, "b.*")
 
 
+#: Bands in Hz that replays change, and which of them are held against each other.
+REPLAY_BANDS = [("band_0", 20, 150), ("band_1", 150, 300), ("band_2", 300, 500), ("band_3", 500, 2000), ("band_4", 2000, 5000), ("band_5", 5000, 10000), ("band_6", 10000, 20000)]
+REPLAY_RATIOS = {"high_ultrahigh": ("band_5", "band_6"), "mid_subbass": ("band_3", "band_0")}
+
+
+def band_ratios(energies: DataFrame, keys: list[str], ratios: dict[str, tuple[str, str]]) -> DataFrame:
+    """(keys, ratios) of band_means() rows: one band's energy over another's, 0 where that is 0."""
+    own = lambda name: F.max(F.when(F.col("band") == name, F.col("energy")))
+    parts = [F.coalesce(F.try_divide(own(a), F.nullif(own(b), F.lit(0.0))), F.lit(0.0)).alias(name) for name, (a, b) in ratios.items()]
+    return energies.groupBy(*keys).agg(*parts)
+
+
 def cutoff_score(cells: DataFrame, keys: list[str], bin_col: str, value: str, above: float, width: float) -> DataFrame:
     """1 less 0.2 f / width for each drop of over 30 % between neighbouring bins from `above`
     on, between 0 and 1; 1 for no such bins."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timbral.functions import measures
-from timbral.operators import fingerprint, rooms
-from timbral.plans.acoustics import RATE, VOICE, channels, each, part_rooms, voices
+from timbral.functions.signal import magnitude_spectrum
+from timbral.operators import fingerprint, liveness, rooms
+from timbral.plans.acoustics import RATE, VOICE, channels, each, part_rooms, transform_sql, voice_frames, voices
 from timbral.plans.queries import SIG, query, r6
 from timbral.session import table
 from timbral.sources import logs
@@ -117,3 +118,15 @@ def environment_report(spark, sf):
     found = heard.select("room_id", rooms.reverberation(8000)(F.col("h")).alias("r"), measures.background_level(8000)(F.col("h"))["level"].alias("level"), rooms.cross_correlation("h", F.reverse("h")).alias("c"))
     flat = found.select("room_id", F.col("r.whole").alias("whole"), F.col("r.bands").alias("bands"), "level", F.col("c.iacc").alias("iacc"), (F.col("c.lag") / 8.0).alias("delay"))
     return logs.environment_report(flat, "room_id", rooms.OCTAVES, "whole", "bands", "level", "iacc", "delay")
+
+
+REPLAY = ", ".join(f"coalesce(avg(sqrt(re * re + im * im)) filter (b * 44100 / 512.0::double between {low} and {high}), 0) as {name}" for name, low, high in (("b0", 20, 150), ("b3", 500, 2000), ("b5", 5000, 10000), ("b6", 10000, 20000)))
+
+
+@query(f"with {transform_sql(32, 16, 512, False)}, e as (select user_id, {REPLAY} from z group by 1) select user_id, round(case when b6 > 0 then b5 / b6 else 0 end, 6) as high_ultrahigh, round(case when b0 > 0 then b3 / b0 else 0 end, 6) as mid_subbass from e")
+def replay_ratios(spark, sf):
+    """Bands of the mean spectrum of full frames, held against each other."""
+    rows = voice_frames(spark, sf, 32, 16).select("user_id", F.posexplode(magnitude_spectrum(512)(F.col("x"))).alias("b", "m"))
+    energies = liveness.band_means(rows.withColumn("f", F.col("b") * 44100 / 512), ["user_id"], "f", "m", liveness.REPLAY_BANDS)
+    found = liveness.band_ratios(energies, ["user_id"], liveness.REPLAY_RATIOS)
+    return found.select("user_id", *[r6(c).alias(c) for c in ("high_ultrahigh", "mid_subbass")])
