@@ -6,13 +6,17 @@ components themselves, and what is projected on them, are floating-point.
 
 from __future__ import annotations
 
-from math import sqrt
+from collections.abc import Iterator
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timbral.llm.shared import free_name, settle
 
@@ -35,23 +39,34 @@ def fixed_point(rows: DataFrame, vector_col: str, out_col: str, scale: int = SCA
     return whole.withColumn(out_col, F.transform(vector_col, lambda c: F.floor(entry(c) * scale).cast("long")))
 
 
-def _total(values: Column, start: str, add) -> Column:
-    return F.aggregate(values, F.lit(0).cast(start), add)
+def _exact(x: np.ndarray, n: int, sums: list[int]) -> list[int]:
+    """The sum over dimensions of (n x - S)^2 of each row, as n^2 x.x - 2 n x.S + S.S, where both dot
+    products are sums of whole numbers: of 64 bits where they fit, else of any size."""
+    top = int(np.abs(x).max(initial=0))
+    fits = x.shape[1] * max(top, 1) * max(top, *map(abs, sums), 1) < 1 << 62
+    wide = x if fits else x.astype(object)
+    own, crossed = (wide * wide).sum(axis=1).tolist(), (wide @ np.array(sums, np.int64 if fits else object)).tolist()
+    rest = sum(v * v for v in sums)
+    return [n * n * a - 2 * n * b + rest for a, b in zip(own, crossed, strict=True)]
 
 
-def _deviation(x: Column, n: int, sums: list[int]) -> Column:
-    """The sum over dimensions of (n x - S)^2, exactly: n^2 x.x - 2 n x.S + S.S, where both dot
-    products are sums of whole numbers."""
-    dot = lambda a, b: _total(F.zip_with(a, b, lambda u, v: u.cast(WIDE) * v.cast("decimal(19, 0)")), WIDE, lambda s, v: (s + v).cast(WIDE))
-    big = lambda value: F.lit(str(value)).cast(WIDE)
-    s = F.array(*[F.lit(v).cast("long") for v in sums])
-    squares = (dot(x, x) * big(n)).cast(WIDE) * big(n)
-    crossed = (dot(x, s) * big(2)).cast(WIDE) * big(n)
-    return (squares.cast(WIDE) - crossed.cast(WIDE) + big(sum(v * v for v in sums))).cast(WIDE)
+def projected(rows: DataFrame, x_col: str, n: int, sums: list[int], weights: np.ndarray, deviation: str, white: str) -> DataFrame:
+    """rows with `deviation` and `white`, each vector less S / n times `weights` (entries x components),
+    in place of x_col."""
+    at = rows.columns.index(x_col)
+    kept = [f for f in rows.schema.fields if f.name != x_col]
+    means = np.array(sums, float) / n
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(at).flatten()).reshape(-1, len(sums))
+            entries = ((x - means) @ weights).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * weights.shape[1], pa.int32()), pa.array(entries))
+            added = [pa.array([Decimal(v) for v in _exact(x, n, sums)], pa.decimal128(38, 0)), lists]
+            columns = [c for i, c in enumerate(batch.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*columns, *added], [*[f.name for f in kept], deviation, white])
 
-def _dot(values: Column, weights: list[float]) -> Column:
-    return _total(F.zip_with(values, F.array(*map(F.lit, weights)), lambda a, b: a * b), "double", lambda s, v: s + v)
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField(deviation, T.DecimalType(38, 0)), T.StructField(white, T.ArrayType(T.DoubleType()))]))
 
 
 def principal_components(fit: DataFrame, x_col: str, n: int, sums: list[int]) -> list[tuple[float, list[float]]]:
@@ -97,21 +112,21 @@ def whiten(rows: DataFrame, vector_col: str = "embedding", components: int = 4,
     if shape["least"] != size:
         raise ValueError(f"vectors of {shape['least']} and of {size} entries")
     sums = [int(v) for v in fit.agg(*[F.sum(F.col(x)[i].cast(WIDE)).alias(f"s{i}") for i in range(size)]).first()]
-    exact = int(fit.agg(F.sum(_deviation(F.col(x), n, sums)).alias("d")).first()["d"])
+    nothing = np.zeros((size, 0))
+    exact = int(projected(fit, x, n, sums, nothing, "d", "w").agg(F.sum("d").alias("d")).first()["d"])
     if not exact:
         return none
     first = principal_components(fit, x, n, sums)[:components]
-    means = [s / n for s in sums]
-    centred = F.zip_with(x, F.array(*map(F.lit, means)), lambda a, m: a - m)
-    white = [_dot(centred, [v / sqrt(e) for v in vector]) for e, vector in first]
+    weights = np.array([vector for _, vector in first]).T / np.sqrt([e for e, _ in first])
     k = len(first)
-    apart = fit.select(*[w.alias(f"w{i}") for i, w in enumerate(white)])
     pairs = [(i, j) for i in range(k) for j in range(i + 1)]
-    covariance = apart.agg(*[F.covar_pop(f"w{i}", f"w{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
+    white = projected(fit, x, n, sums, weights, "d", "w")
+    covariance = white.agg(*[F.covar_pop(F.col("w")[i], F.col("w")[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     error = max(abs(c - (i == j)) for c, (i, j) in zip(covariance, pairs, strict=True))
     total = exact / n**3
-    entries = F.array(*[F.struct(F.lit(i + 1).alias("c"), w.alias("w"), F.lit(e / total).alias("e")) for i, (w, (e, _)) in enumerate(zip(white, first, strict=True))])
-    each = free_name([*rows.columns, *names, x], "each")
-    out = found.select(*rows.columns, _deviation(F.col(x), n, sums).alias(names[2]), F.explode(entries).alias(each))
-    added = [F.col(each)["c"], F.lit(n).cast("long"), F.col(names[2]), F.col(each)["w"], F.col(each)["e"], F.lit(float(error))]
+    taken = [*rows.columns, *names]
+    place, entry = free_name(taken, "place"), free_name(taken, "entry")
+    out = projected(found, x, n, sums, weights, names[2], x).select(*rows.columns, names[2], F.posexplode(x).alias(place, entry))
+    explained = F.get(F.array(*[F.lit(e / total) for e, _ in first]), F.col(place))
+    added = [F.col(place) + 1, F.lit(n).cast("long"), F.col(names[2]), F.col(entry), explained, F.lit(float(error))]
     return out.select(*rows.columns, *[c.alias(name) for c, name in zip(added, names, strict=True)])
