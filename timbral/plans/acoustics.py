@@ -132,10 +132,22 @@ def tube_sections(spark, sf):
     return found.select("user_id", r6(k[0]).alias("k1"), r6(k[1]).alias("k2"), r6(a[1]).alias("a1"), F.round(F.col("t.areas")[1], 4).alias("area"))
 
 
-@query()
+def burg_sql(order: int) -> str:
+    """Burg's method order by order on Hamming-windowed streams: m0, m1, .. hold what is predicted ahead
+    (f) and behind (b) at each place, k1, k2, .. the reflections."""
+    parts = [f"{VOICE}, h as (select user_id, i, x * (0.54 - 0.46 * cos(2 * pi() * i / (n - 1))) as x from voice where n > 1)", "m0 as (select user_id, i, lead(x) over w as f, x as b from h window w as (partition by user_id order by i) qualify lead(x) over w is not null)"]
+    for k in range(1, order + 1):
+        parts.append(f"k{k} as (select user_id, coalesce(-2 * sum(f * b) / nullif(sum(f * f + b * b), 0), 0) as k from m{k - 1} group by 1)")
+        parts.append(f"n{k} as (select m.user_id, i, f + k * b as f, b + k * f as b from m{k - 1} m join k{k} k on k.user_id = m.user_id)")
+        parts.append(f"m{k} as (select user_id, i, lead(f) over w as f, b from n{k} window w as (partition by user_id order by i) qualify lead(f) over w is not null)")
+    return ", ".join(parts)
+
+
+@query(f"with {burg_sql(16)}, u as (select distinct user_id from h) " + " union all ".join(f"select u.user_id, {k - 1}::int as k_, round(coalesce(k, 0), 6) + 0 as k from u left join k{k} on k{k}.user_id = u.user_id" for k in range(1, 17)))
 def tube_model(spark, sf):
     found = voices(spark, sf).select("user_id", glottal.tube_model(RATE)(F.col("x")).alias("t")).where("t is not null")
-    return each(found.select("user_id", F.col("t.reflection").alias("k")), "k", "k")
+    rows = found.select("user_id", F.posexplode("t.reflection").alias("k_", "k"))
+    return rows.select("user_id", "k_", (r6("k") + 0).alias("k"))
 
 
 @query()
@@ -162,7 +174,15 @@ def reassigned_spectrum(spark, sf):
     return found.select("user_id", F.posexplode("e").alias("frame", "e")).select("user_id", "frame", F.posexplode("e").alias("bin", "energy")).select("user_id", "frame", "bin", r6("energy").alias("energy"))
 
 
-@query()
+#: Both transforms, the logarithm's cepstrum without what is in its middle, and the compressed product.
+DELAY = f"""{VOICE}, b as (select range as b from range(64)), y as (select user_id, i, (0.54 - 0.46 * cos(2 * pi() * i / greatest(n - 1, 1))) as w, x, x - coalesce(lag(x) over (partition by user_id order by i), 0) as d from voice),
+f as (select user_id, b, sum(w * x * cos(2 * pi() * i * b / 64)) as re, -sum(w * x * sin(2 * pi() * i * b / 64)) as im, sum(w * d * cos(2 * pi() * i * b / 64)) as dr, -sum(w * d * sin(2 * pi() * i * b / 64)) as di from y, b where i < 64 group by 1, 2),
+c as (select user_id, q.b as q, sum(ln(sqrt(re * re + im * im) + 1e-10) * cos(2 * pi() * f.b * q.b / 64)) / 64 as c from f, b q where q.b < 20 or q.b >= 44 group by 1, 2),
+s as (select user_id, b.b, exp(sum(c * cos(2 * pi() * b.b * q / 64))) as s from c, b group by 1, 2),
+t as (select f.user_id, f.b, (dr * re + di * im) / (s * s) as t from f join s on s.user_id = f.user_id and s.b = f.b), m as (select *, sign(t) * power(abs(t), 0.2::double) as v from t)"""
+
+
+@query(f"with {DELAY}, p as (select *, max(abs(v)) over (partition by user_id) as top from m) select user_id, cast(b as int) as i, round(v / top * 0.4::double, 6) as delay from p where b <= 32")
 def modified_group_delay(spark, sf):
     return each(voices(spark, sf).select("user_id", spectra.modified_group_delay(64)(F.col("x"))["delay"].alias("d")), "d", "delay")
 

@@ -10,7 +10,7 @@ from timbral.functions import normalization, rhythm, spectra
 from timbral.functions import text as T
 from timbral.functions.signal import magnitude_spectrum
 from timbral.operators import challenges, evaluation, fingerprint, gaussian, learning
-from timbral.plans.acoustics import RATE, SLOW, each, transform_sql, voice_frames, voices
+from timbral.plans.acoustics import RATE, SLOW, each, mel_sql, transform_sql, voice_frames, voices
 from timbral.plans.queries import CELLS, query, r6
 from timbral.session import table
 
@@ -218,10 +218,16 @@ def spectrum_flattened(spark, sf):
     return each(voices(spark, sf).select("user_id", found(F.col("x"))["y"].alias("y")), "y", "y")
 
 
-@query()
+#: Band powers, their means over five frames (the ends repeated), and the floor from frame to frame.
+POWERS = f"""{transform_sql(32, 8, 32, True)}, {mel_sql(RATE, 32, 12)}, p as (select user_id, frame, k, sum((re * re + im * im) * w) as p from z join mel using (b) group by 1, 2, 3),
+l as (select user_id, max(frame) as last from p group by 1), a as (select p.user_id, p.frame, p.k, avg(o.p) as y from p join l on l.user_id = p.user_id, range(-2, 3) d, p o where o.user_id = p.user_id and o.k = p.k and o.frame = greatest(0, least(l.last, p.frame + d.range)) group by 1, 2, 3),
+fl as (select user_id, frame, k, y, y as floor from a where frame = 0 union all select a.user_id, a.frame, a.k, a.y, case when a.y >= fl.floor then 0.999::double * fl.floor + 0.001::double * a.y else 0.5::double * fl.floor + 0.5::double * a.y end from fl join a on a.user_id = fl.user_id and a.k = fl.k and a.frame = fl.frame + 1)"""
+
+
+@query(f"with recursive {POWERS} select user_id, cast(frame as int) as frame, cast(c.range as int) as k, round(sum(power(greatest(y - floor, 0), 1 / 15.0::double) * cos(pi() * c.range * (2 * k + 1) / 24)) * sqrt(case when c.range = 0 then 1 else 2 end / 12.0::double), 6) + 0 as pncc from fl, range(6) c group by 1, 2, c.range")
 def power_cepstra(spark, sf):
     found = voices(spark, sf).select("user_id", spectra.pncc(RATE, 32, 8, 12, 6)(F.col("x"))["pncc"].alias("p"))
-    return found.select("user_id", F.posexplode("p").alias("frame", "p")).select("user_id", "frame", F.posexplode("p").alias("k", "pncc")).select("user_id", "frame", "k", r6("pncc").alias("pncc"))
+    return found.select("user_id", F.posexplode("p").alias("frame", "p")).select("user_id", "frame", F.posexplode("p").alias("k", "pncc")).select("user_id", "frame", "k", (r6("pncc") + 0).alias("pncc"))
 
 
 BARK = "(13 * atan(0.00076 * {0} * 250) + 3.5 * atan(power({0} * 250 / 7500.0::double, 2)))"
