@@ -10,7 +10,7 @@ from timbral.functions import decompose, glottal
 from timbral.functions import signal as S
 from timbral.functions import vectors as V
 from timbral.operators import enrolment, learning, process
-from timbral.plans.acoustics import RATE, VOICE, each, mel_sql, transform_sql, voice_frames, voices
+from timbral.plans.acoustics import RATE, VOICE, burg_sql, each, mel_sql, transform_sql, voice_frames, voices
 from timbral.plans.queries import CELLS, query, r6, similarities
 from timbral.session import table
 from timbral.tables import shared_folder
@@ -80,9 +80,20 @@ def closed_phases(spark, sf):
     return found.select("user_id", "k", F.round("formant", 3).alias("formant"), "cycles")
 
 
-@query()
+def filter_sql(order: int) -> str:
+    """s8(user_id, a) and the like: the prediction filter from its reflections, order by order."""
+    parts = [burg_sql(order), "s0 as (select distinct user_id, [1.0::double] as a from h)"]
+    for k in range(1, order + 1):
+        step = f"list_transform(range(1, {k + 2}), lambda j: e[j] + coalesce(k, 0) * e[{k + 2} - j])"
+        parts.append(f"s{k} as (select e.user_id, {step} as a from (select user_id, list_append(a, 0.0::double) as e from s{k - 1}) e left join k{k} on k{k}.user_id = e.user_id)")
+    return ", ".join(parts)
+
+
+@query(f"""with {filter_sql(8)} select v.user_id, cast(v.i as int) as i, round(case when v.i < 8 then 0 else sum(a[v.i - u.i + 1] * u.x) end, 6) + 0 as y
+from voice v join s8 on s8.user_id = v.user_id join voice u on u.user_id = v.user_id and u.i between v.i - 8 and v.i group by v.user_id, v.i""")
 def prediction_residual(spark, sf):
-    return each(voices(spark, sf).select("user_id", glottal.lpc_residual(8)(F.col("x"))["residual"].alias("y")), "y", "y")
+    found = each(voices(spark, sf).select("user_id", glottal.lpc_residual(8)(F.col("x"))["residual"].alias("y")), "y", "y")
+    return found.withColumn("y", F.col("y") + 0)
 
 
 @query(f"""with {CELLS}, m as (select label, i, avg(v) as m from cells group by 1, 2), p as (select c.vec_id, sum(c.v * m.m) / (sqrt(sum(c.v * c.v)) * sqrt(sum(m.m * m.m))) as s from cells c join m on c.label = m.label and c.i = m.i group by 1)
