@@ -9,6 +9,7 @@ from timbral.functions.signal import magnitude_spectrum
 from timbral.operators import fingerprint, liveness, rooms
 from timbral.plans.acoustics import RATE, VOICE, channels, each, part_rooms, transform_sql, voice_frames, voices
 from timbral.plans.queries import SIG, query, r6
+from timbral.plans.scoring import picked
 from timbral.session import table
 from timbral.sources import logs
 from timbral.tables import shared_folder
@@ -20,7 +21,12 @@ def modulation_features(spark, sf):
     return found.select("user_id", *[r6(F.col(f"m.{c}")).alias(c) for c in ("mean", "deviation", "spectral_centre", "temporal_centre")])
 
 
-@query()
+STRESS = f"""{transform_sql(16, 4, 16, True)}, sp0 as (select user_id, frame as i, sum(sqrt(re * re + im * im)) as e from z group by 1, 2), sp as (select user_id, cast(i as int) as i, e / max(e) over (partition by user_id) as v from sp0), {picked("sp", "user_id", 0.1, 3)},
+pk as (select user_id, unnest(peaks) as i, unnest(list_transform(range(1, len(peaks) + 1), lambda k: peaks[k] - case when k > 1 then peaks[k - 1] end)) as gap from picked)"""
+
+
+@query(f"""with {STRESS}, st as (select pk.user_id, count(*) as n, avg(v) as m, stddev_pop(v) / avg(v) as s, coalesce(stddev_pop(gap) / avg(gap), 0) as g from pk join sp on sp.user_id = pk.user_id and sp.i = pk.i group by 1)
+select u.user_id, coalesce(n, 0) as n, round(coalesce(m, 0), 6) as mean, round(coalesce(s, 0), 6) as variability, round(coalesce(g, 0), 6) as interval_variability from (select distinct user_id from sp) u left join st on st.user_id = u.user_id""")
 def stress_pattern(spark, sf):
     found = voices(spark, sf).select("user_id", measures.stress_pattern(16, 4, distance=3)(F.col("x")).alias("s")).where("s is not null")
     return found.select("user_id", "s.n", *[r6(F.col(f"s.{c}")).alias(c) for c in ("mean", "variability", "interval_variability")])
