@@ -65,7 +65,7 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert {k for k in QUERIES} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark):
