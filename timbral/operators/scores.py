@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,3 +152,19 @@ def margin_logits(cosines: Column, own: Column, scale: float = 30.0, margin: flo
     moved = cosines * math.cos(margin) - F.sqrt(F.greatest(F.lit(0.0), 1 - cosines * cosines)) * math.sin(margin)
     beyond = cosines - math.sin(math.pi - margin) * margin
     return scale * F.when(own, F.when(cosines > math.cos(math.pi - margin), moved).otherwise(beyond)).otherwise(cosines)
+
+
+def quantiles(*shares: float):
+    """struct(q): quantiles of an array in any order, to the last bit as SQL's quantile_cont gives them: the
+    two neighbours by their nearness, in a fused step. (Spark's percentile rounds once more, so that where
+    neighbours differ in their last bits it lies on another side of them.)"""
+
+    def work(x: np.ndarray) -> dict:
+        x, out = np.sort(x, axis=1), []
+        for share in shares:
+            at = (x.shape[1] - 1) * share
+            low, high, part = x[:, math.floor(at)], x[:, math.ceil(at)], at - math.floor(at)
+            out.append([math.fma(a, 1 - part, b * part) for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+        return {"q": np.array(out).T}
+
+    return on_signals(work, q="doubles")

@@ -203,7 +203,8 @@ select user_id, round(onset, 6) as onset, round(target, 6) as target, round(onse
 def locus_equation(spark, sf):
     speed = F.abs(F.col("x") - F.lag("x").over(Window.partitionBy("user_id").orderBy("i")))
     rows = signal(spark, sf).select("user_id", "x", speed.alias("s")).where("s is not null")
-    bounds = rows.groupBy("user_id").agg(F.percentile("s", 0.8).alias("hi"), F.percentile("s", 0.3).alias("lo"))
+    bounds = rows.groupBy("user_id").agg(F.collect_list("s").alias("all")).select("user_id", scores.quantiles(0.8, 0.3)(F.col("all"))["q"].alias("q"))
+    bounds = bounds.select("user_id", F.get("q", F.lit(0)).alias("hi"), F.get("q", F.lit(1)).alias("lo"))
     fast, slow = F.col("s") > F.col("hi"), F.col("s") < F.col("lo")
     means = rows.join(bounds, "user_id").groupBy("user_id").agg(F.avg(F.when(fast, F.col("x"))).alias("onset"), F.avg(F.when(slow, F.col("x"))).alias("target"), F.count_if(fast).alias("a"), F.count_if(slow).alias("b"))
     return means.where("a >= 2 and b >= 2").select("user_id", r6("onset").alias("onset"), r6("target").alias("target"), r6(F.col("onset") - 0.7 * F.col("target")).alias("intercept"))
