@@ -222,7 +222,9 @@ t as (select user_id, min(i) filter (db <= -5) as a, min(i) filter (db <= -35) a
 def reverberation_time(spark, sf):
     rest = Window.partitionBy("user_id").orderBy("i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     power = F.col("x") * F.col("x")
-    rows = signal(spark, sf).withColumn("db", 10 * F.log10(F.sum(power).over(rest) / F.sum(power).over(Window.partitionBy("user_id"))))
+    left = F.try_divide(F.sum(power).over(rest), F.sum(power).over(Window.partitionBy("user_id")))
+    db = F.when(F.col("left") == 0, F.lit(float("-inf"))).otherwise(10 * F.log10("left"))  # nothing is left after a last sample of 0
+    rows = signal(spark, sf).withColumn("left", left).withColumn("db", db)
     first = rows.groupBy("user_id").agg(F.min(F.when(F.col("db") <= -5, F.col("i"))).alias("a"), F.min(F.when(F.col("db") <= -35, F.col("i"))).alias("b"))
     return first.select("user_id", F.col("a").cast("long").alias("from_step"), (2 * (F.col("b") - F.col("a"))).cast("long").alias("rt60_steps"))
 
