@@ -27,16 +27,37 @@ KINDS: dict[str, tuple[T.DataType, pa.DataType]] = {
 }
 
 
+#: Samples that a kernel sees at once: what it makes of them, often hundreds of times as much, does not
+#: grow with a batch. One longer signal is still worked on whole.
+CELLS = 1 << 14
+
+
 def matrices(signals: pa.Array, least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, matrix) for each length of `least` samples or more."""
-    flat = signals.flatten().to_numpy(zero_copy_only=False).astype(float)
-    flat = np.where(np.isfinite(flat), flat, 0.0)
-    sizes = np.array([-1 if v is None else v for v in pa.compute.list_value_length(signals).to_pylist()])
+    """(rows, matrix) of signals of one length of `least` samples or more, CELLS samples at a time."""
+    flat = signals.flatten().to_numpy(zero_copy_only=False)
+    sizes = pa.compute.list_value_length(signals).fill_null(-1).to_numpy(zero_copy_only=False)
     starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
     for n in np.unique(sizes):
         if n >= max(least, 1):
-            rows = np.flatnonzero(sizes == n)
-            yield rows, flat[starts[rows][:, None] + np.arange(n)]
+            own, step = np.flatnonzero(sizes == n), max(1, CELLS // int(n))
+            for lo in range(0, len(own), step):
+                rows = own[lo : lo + step]
+                x = flat[starts[rows][:, None] + np.arange(n)].astype(float)
+                yield rows, np.where(np.isfinite(x), x, 0.0)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """The rows of an array of two dimensions or more as lists, without an object for each value."""
+    inner = pa.array(values.ravel()) if values.ndim == 2 else _lists(values.reshape(-1, *values.shape[2:]))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), inner)
+
+
+def _column(values, kind: str) -> pa.Array:
+    """A field's values of some signals as an Arrow array."""
+    arrow, depth = KINDS[kind][1], {"doubles": 2, "longs": 2, "matrix": 3}.get(kind)
+    if isinstance(values, np.ndarray) and values.ndim == depth and values.dtype != object:
+        return _lists(values).cast(arrow)
+    return pa.array([v.tolist() if kind == "matrix" and isinstance(v, np.ndarray) else v for v in values], arrow)
 
 
 def on_signals(work: Callable[..., dict], least: int = 1, **fields: str) -> Callable[..., Column]:
@@ -44,16 +65,16 @@ def on_signals(work: Callable[..., dict], least: int = 1, **fields: str) -> Call
     names = list(fields)
     given = T.StructType([T.StructField(n, KINDS[k][0]) for n, k in fields.items()])
     arrow = pa.struct([(n, KINDS[k][1]) for n, k in fields.items()])
-    nested = {n for n, k in fields.items() if k == "matrix"}
 
     @F.arrow_udf(given)
     def run(signals: pa.Array) -> pa.Array:
-        out: list = [None] * len(signals)
+        parts, place, done = [pa.nulls(1, arrow)], np.zeros(len(signals), np.int64), 1
         for rows, x in matrices(signals, least):
             found = work(x)
-            for k, i in enumerate(rows):
-                out[i] = {n: found[n][k].tolist() if n in nested else found[n][k] for n in names}
-        return pa.array(out, arrow)
+            parts.append(pa.StructArray.from_arrays([_column(found[n], fields[n]) for n in names], fields=list(arrow)))
+            place[rows] = done + np.arange(len(rows))
+            done += len(rows)
+        return pa.concat_arrays(parts).take(pa.array(place))
 
     return run
 

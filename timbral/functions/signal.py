@@ -6,6 +6,8 @@ form (transforms, recursions, roots) runs in these small vectorized helpers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,14 +19,22 @@ from timbral.functions import vectors as V
 DOUBLES = ArrayType(DoubleType())
 
 
-def _stacked(frames: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(rows, matrix) for each frame length of a batch; null frames are in none."""
+#: Frames that a kernel sees at once, so that its work does not grow with a batch.
+FRAMES = 512
+
+
+def _stacked(frames: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of frames of one length of a batch, FRAMES at a time; null frames are in none."""
     sizes = frames.map(lambda x: -1 if x is None else len(x)).to_numpy()
-    return [(np.flatnonzero(sizes == n), np.stack(frames[sizes == n].to_numpy()).astype(float)) for n in np.unique(sizes) if n > 0]
+    for n in np.unique(sizes):
+        own = np.flatnonzero(sizes == n) if n > 0 else np.zeros(0, int)
+        for lo in range(0, len(own), FRAMES):
+            rows = own[lo : lo + FRAMES]
+            yield rows, np.stack(frames.iloc[rows].to_numpy()).astype(float)
 
 
 def _per_frame(kernel):
-    """A pandas UDF that applies a matrix kernel to frames of one length at a time."""
+    """A pandas UDF that applies a matrix kernel to frames of one length, some at a time."""
 
     @F.pandas_udf(DOUBLES)
     def run(frames: pd.Series) -> pd.Series:

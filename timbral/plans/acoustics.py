@@ -244,7 +244,7 @@ def voices_in_rooms(spark, sf):
 def sweep_response(spark, sf):
     """Each stream as a room's response: a sweep is played in it and the response taken back."""
     tone = rooms.sweep(4096, 1.0, 7999.0, RATE)
-    heard = voices(spark, sf).select("user_id", rooms.sweep_response(tone)(rooms.played(tone)(F.col("x"))["y"])["h"].alias("h"))
+    heard = voices(spark, sf).select("user_id", rooms.swept(tone)(F.col("x"))["h"].alias("h"))
     return heard.select("user_id", F.posexplode("h").alias("i", "h")).select("user_id", "i", (F.round("h", 4) + 0).alias("h"))
 
 
