@@ -31,7 +31,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near copies: documents whose
-    sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    SimHash fingerprints over five-word shingles differ in 2 bits or fewer, or whose sets of these
+    shingles have a Jaccard similarity of 0.8 or more."""
     return simhash.simhash_near_dedup(docs, size=5, similarity=0.8)
 
 

@@ -244,12 +244,23 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, i
     return each.select("doc_id", "set").join(of, "set", "left").select("doc_id", "component_id")
 
 
+def near_or_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every document with an id: components of all links, those of
+    fingerprints at 2 or fewer bits and those of similar_documents(), both over shingles of `size`
+    words. A document that only one of the two links is linked."""
+    groups = [near_duplicates(docs, id_col, text_col, size), similar_documents(docs, size, similarity, id_col, text_col)]
+    edges = reduce(DataFrame.union, [g.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for g in groups])
+    found = connected_components(edges.where("a is not null and a != b").distinct())
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    return own.join(found, own["doc_id"] == found["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, similarity: float | None = None) -> DataFrame:
     """docs without the rows whose document is not the smallest id of its component: of
-    near_duplicates(), or with a similarity of similar_documents().
+    near_duplicates(), or with a similarity of near_or_similar().
 
     Rows with a null id stay, since nothing orders them; so do further rows with a kept id.
     """
-    groups = near_duplicates(docs, id_col, text_col, size) if similarity is None else similar_documents(docs, size, similarity, id_col, text_col)
+    groups = near_duplicates(docs, id_col, text_col, size) if similarity is None else near_or_similar(docs, size, similarity, id_col, text_col)
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
