@@ -144,3 +144,45 @@ def test_chains_of_many_pairs_at_once():
         x, y = passages.anchors_of(mark[pair == p], omark[pair == p])
         want += [(p, [v for b in c for v in b[:3]]) for c in passages.chains(x, y) if sum(b[3] for b in c) >= passages.LEAST]
     assert got == sorted(want) and more and len(of)
+
+
+def test_passages_of_all_pairs_of_documents(spark):
+    """Four different documents of one passage are six pairs; so are changed ones that only one pair shows,
+    where other documents hold its seeds too; copies are linked to the first of them."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    text = lambda n: [word() for _ in range(n)]
+    bodies, passage = {}, text(60)
+    for i in range(4):
+        bodies[i] = text(20 + i) + passage + text(30)
+    run = text(60)  # 20 and 30 share it all; 10 and 25 have each a half of it
+    bodies[10], bodies[25] = text(40) + run[:30] + text(40), text(40) + run[:30] + text(40)
+    bodies[20], bodies[30] = text(10) + run[:28] + [word()] + run[29:] + text(9), text(25) + run + text(4)
+    bodies[11], bodies[26] = text(40) + run[29:] + text(40), text(40) + run[29:] + text(40)
+    bodies[40], bodies[41], bodies[42] = (text(70),) * 3
+    bodies[50] = text(30) + bodies[40][:60] + text(30)
+    got = passages.substring_dedup(docs_of(spark, [(i, " ".join(b), "s") for i, b in bodies.items()])).collect()
+    pairs = {tuple(sorted((r.doc_id, r.other_id))) for r in got}
+    assert pairs == {(a, b) for a in range(4) for b in range(a + 1, 4)} | {(20, 30), (40, 41), (40, 42), (40, 50)}
+    assert {r.component_id for r in got if r.doc_id in (41, 42, 50)} == {40}
+
+
+def test_anchors_of_few_and_of_many_documents():
+    h, doc = np.repeat(np.array([7, 9, 11], np.uint64), [4, 6, 1]), np.r_[3, 1, 2, 0, np.arange(6), 8]
+    a, _, b, _, top, _, _ = passages.pairs_of(h, doc.astype(np.int64), np.zeros(11, np.int32), 4)
+    got = Counter(zip(a.tolist(), b.tolist(), strict=True))
+    few = [(i, j) for i in range(4) for j in range(i)]
+    assert got == Counter(few + [(i, i - 1) for i in range(1, 6)] + [(i, 0) for i in range(2, 6)]) and not len(top)
+
+
+def test_block_that_leads_off_a_passage():
+    """A passage is found from either side, and in a chain whose first block lies elsewhere."""
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(1, 1 << 31, n).astype(np.uint32)
+    run = new(50)
+    a, b = np.r_[new(60), run, new(60)], np.r_[new(46), run[:5], new(9), run, new(60)]
+    there, back = passages.passages_of(a, b, [(60, 46, 5), (68, 68, 25)], 50, 0.8)
+    assert any(e - s >= 50 for s, e, *_ in there) and not back
+    short, whole = run[np.r_[0:20, 22:50]], run
+    there, back = passages.passages_of(short, whole, [(0, 0, 20), (20, 22, 28)], 50, 0.8)
+    assert not there and [p[:4] for p in back] == [(0, 50, 0, 48)]
