@@ -79,10 +79,10 @@ def sigma_threshold(means: DataFrame, param: str, value: str, sigmas: float = 3.
 
 
 def clip_norm(updates: DataFrame, client: str, value: str, limit: float) -> DataFrame:
-    """Each client's values times min(1, C / (norm + 1e-10))."""
+    """Each client's values times min(1, C / (norm + 1e-10)). The norms are what a task hashes; updates pass by unsorted."""
     norms = updates.groupBy(client).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("norm"))
     scale = F.least(F.lit(1.0), F.lit(float(limit)) / (F.col("norm") + 1e-10))
-    return updates.join(norms, client).withColumn("clipped", F.col(value) * scale)
+    return updates.join(norms.hint("shuffle_hash"), client).withColumn("clipped", F.col(value) * scale)
 
 
 def top_share(updates: DataFrame, param: list[str], place: list[str], value: str, share: float = 0.1) -> DataFrame:

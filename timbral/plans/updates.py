@@ -12,6 +12,8 @@ from timbral.plans.queries import query
 from timbral.session import table
 
 ROUNDS = list(range(1, 8))
+#: Rows that a task groups, about, where groups are nearly as many as rows.
+TASK_ROWS = 1 << 20
 UPDATES = """u as (select l_linenumber as round, l_suppkey as client, case when l_returnflag = 'R' then 1 else 0 end as param, l_partkey % 32 as place, sum(l_discount - 0.05) as value from lineitem group by 1, 2, 3, 4)"""
 
 
@@ -64,4 +66,6 @@ def gaussian_gradients(spark, sf):
     """Discounts clipped to norm 0.5 by supplier, with Gaussian noise at epsilon 0.8 and delta 1e-5."""
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_discount").alias("v"))
     found = learning.private_updates(rows, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"], "v", 0.5, 0.8, 1e-5, "hush")
-    return found.groupBy("l_orderkey", "l_linenumber").agg((F.round(F.sum("noisy"), 5) + 0).alias("noisy"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+    laid = found.repartition(parts, "l_orderkey", "l_linenumber")  # nearly each row is a group: a task's grow with its rows
+    return laid.groupBy("l_orderkey", "l_linenumber").agg((F.round(F.sum("noisy"), 5) + 0).alias("noisy"))
