@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from timbral.llm import mixing, passages, shared
@@ -186,3 +187,63 @@ def test_block_that_leads_off_a_passage():
     short, whole = run[np.r_[0:20, 22:50]], run
     there, back = passages.passages_of(short, whole, [(0, 0, 20), (20, 22, 28)], 50, 0.8)
     assert not there and [p[:4] for p in back] == [(0, 50, 0, 48)]
+
+
+def test_chains_are_looked_at_together():
+    """Of many chains at once the most matches, as most_matches() counts them chain by chain and block by block."""
+    rng = np.random.default_rng(5)
+    sides, chains = ([], []), []
+    for _ in range(400):
+        blocks, x, y = [], *rng.integers(0, 90, 2).tolist()
+        for _ in range(rng.integers(1, 5)):
+            n = int(rng.integers(5, 40))
+            blocks.append((x, y, n))
+            x, y = x + n + int(rng.integers(0, 64)), y + n + int(rng.integers(0, 64))
+        last = blocks[-1]
+        for side, first, end in zip(sides, blocks[0], (last[0] + last[2], last[1] + last[2]), strict=False):
+            side.append(rng.integers(0, 3, end - max(0, first - passages.FLANK) + int(rng.integers(0, passages.FLANK + 1))))
+        chains.append(blocks)
+    packed = []
+    for side in sides:
+        n = np.array([len(w) for w in side])
+        values, size = passages.nibbles(np.concatenate(side), np.cumsum(n) - n, n)
+        ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+        column = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(values)])[100:]
+        packed.append(passages.from_nibbles(column))
+        assert all(np.array_equal(packed[-1][0][s : s + k], w) for s, k, w in zip(*packed[-1][1:], side[100:], strict=True))
+    got = passages.most_of_chains(*packed, np.array([b for c in chains[100:] for b in c]), np.array([len(c) for c in chains[100:]]))
+    want = []
+    for a, b, blocks in zip(*sides, chains, strict=True):
+        own = passages._own([v for p in blocks for v in p])
+        want.append(max(passages.most_matches(a, b, t) for t in [own, *([p] for p in own)]))
+    assert got.tolist() == want[100:] and len(set(map(len, chains))) == 4
+
+
+def test_rows_of_seeds_grow_with_the_seeds(spark, monkeypatch):
+    """Four times the documents, in four times the tasks, make four times the rows of seeds and of anchors, not more."""
+    made, rng = Counter(), np.random.default_rng(9)
+    settle, bundles = passages.settle, passages._bundles
+    monkeypatch.setattr(passages, "PASSES", 1)
+    monkeypatch.setattr(passages, "BINS", 16)
+    monkeypatch.setattr(passages, "STEP", 1 << 10)
+    monkeypatch.setattr(passages, "HELD", 1 << 10, raising=False)
+
+    def counted(name, df):
+        made[name, size] += df.count()
+        return df
+
+    monkeypatch.setattr(passages, "settle", lambda df, name: counted(name, settle(df, name)))
+    monkeypatch.setattr(passages, "_bundles", lambda *a: counted("seeds", bundles(*a)))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    line = rng.integers(0, 1 << 20, (40, 60))
+    bodies = [[*rng.integers(0, 1 << 20, 40), *line[i % 40], *rng.integers(0, 1 << 20, 40)] for i in range(160)]
+    rows = [(i, " ".join(map(str, b)), "s") for i, b in enumerate(bodies)]
+    try:
+        for size in (1, 4):
+            spark.conf.set("spark.sql.shuffle.partitions", 12 * size)
+            docs = docs_of(spark, [(i + 1000 * k, " ".join(f"{w}-{k}" for w in t.split()), s) for k in range(size) for i, t, s in rows])
+            made["found", size] = passages.shared_passages(docs.repartition(size)).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert made["found", 4] == 4 * made["found", 1] == 4 * 40 * 6
+    assert made["seeds", 4] < 5 * made["seeds", 1] and made["anchors", 4] < 5 * made["anchors", 1]
