@@ -22,7 +22,7 @@ BLOCK = 1 << PLACE
 WORDS_HELD = 300_000
 #: The most frequent words go to every task; all others are joined.
 HOT_WORDS = 1 << 18
-#: A table of up to this many grams (16 bytes each) goes to every task; a larger one is joined.
+#: Grams (16 bytes each) that go to every task: all, or the most frequent; the others are joined.
 HELD_GRAMS = 9 << 19
 END = b"\n"
 SEED = 42
@@ -191,17 +191,22 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     return scores
 
 
-def _looked_up(keys: np.ndarray, table: np.ndarray, logp: np.ndarray) -> np.ndarray:
-    """logp of each key; every key is in the sorted table."""
-    out = np.empty(len(keys))
+def _looked_up(keys: np.ndarray, table: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """logp of each key, 0 for one that is not in the sorted table; and whether it is there."""
+    out, known = np.zeros(len(keys)), np.zeros(len(keys), dtype=bool)
+    if not len(table):
+        return out, known
     for i in range(0, len(keys), BLOCK):
         block = keys[i : i + BLOCK]
         packed = np.sort(block << np.uint64(PLACE) | np.arange(len(block), dtype=np.uint64))
         sorted_keys = packed >> np.uint64(PLACE)
         first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
-        found = logp[np.searchsorted(table, sorted_keys[first])]
-        out[i + (packed & np.uint64(BLOCK - 1)).astype(np.int64)] = np.repeat(found, np.diff(np.r_[first, len(block)]))
-    return out
+        once, times = sorted_keys[first], np.diff(np.r_[first, len(block)])
+        at = np.minimum(np.searchsorted(table, once), len(table) - 1)
+        there, place = table[at] == once, i + (packed & np.uint64(BLOCK - 1)).astype(np.int64)
+        out[place] = np.repeat(np.where(there, logp[at], 0.0), times)
+        known[place] = np.repeat(there, times)
+    return out, known
 
 
 def _sorted_arrays(rows: DataFrame, value: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -212,15 +217,15 @@ def _sorted_arrays(rows: DataFrame, value: str, kind: type) -> tuple[np.ndarray,
     return keys[order], found.column(value).to_numpy()[order].astype(kind)
 
 
-def _hot_from(words: DataFrame) -> int:
-    """The least count of words so frequent that there are HOT_WORDS of them at most. Counts are
+def _hot_from(counted: DataFrame, count: str, most: int) -> int:
+    """The least count of words or grams so frequent that there are `most` of them at most. Counts are
     told apart by eighths of a power of two, so a few hundred sums decide and nothing is sorted."""
-    class_ = F.floor(F.log2("train") * 8)
-    classes = words.groupBy(class_.alias("class")).agg(F.count("*").alias("n"), F.min("train").alias("least")).collect()
+    class_ = F.floor(F.log2(count) * 8)
+    classes = counted.groupBy(class_.alias("class")).agg(F.count("*").alias("n"), F.min(count).alias("least")).collect()
     found, least = 0, 1 << 62
     for c in sorted(classes, key=lambda c: -c["class"]):
         found += c["n"]
-        if found > HOT_WORDS:
+        if found > most:
             break
         least = c["least"]
     return least
@@ -236,17 +241,20 @@ def ppm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     A null id trains. Repeated rows train and score each by itself; other columns go. An empty
     table gives no rows; without training rows all symbols are alike and every c is 0.
 
-    The trie and the vocabulary are tables. The most frequent words and a gram table of checked
-    size go to the tasks as arrays; the other words, and a larger gram table, are joined.
+    The trie and the vocabulary are tables. The most frequent words and grams go to the tasks as
+    arrays. The others, which are rare, leave the tasks by their occurrences and are joined.
     """
     spark = docs.sparkSession
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), is_held_out(F.col(id_col)).alias("held_out"))
     counts = gather(wanted)
     scores = gram_scores(counts.grams)
     total, distinct = counts.words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count("*")).first()
-    hot = counts.words.where(F.col("train") >= _hot_from(counts.words))
-    held = scores.count() <= HELD_GRAMS
-    sent = spark.sparkContext.broadcast((_sorted_arrays(hot, "train", np.int64), _sorted_arrays(scores, "logp", np.float64) if held else None))
+    hot = counts.words.where(F.col("train") >= _hot_from(counts.words, "train", HOT_WORDS))
+    held, hot_scores = scores.count() <= HELD_GRAMS, scores
+    if not held:
+        frequent = counts.grams.where(F.col("every") >= _hot_from(counts.grams, "every", HELD_GRAMS))
+        hot_scores = scores.join(frequent.select("key"), "key", "left_semi")
+    sent = spark.sparkContext.broadcast((_sorted_arrays(hot, "train", np.int64), _sorted_arrays(hot_scores, "logp", np.float64)))
     below = np.log10(total + 0.5 * (distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,31 +274,28 @@ def ppm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 columns[1].append(int(n[known].sum()))
                 columns[2].append(float((n[known] * hot_logs[at[known]]).sum()))
                 columns[3].append(np.repeat(keys[~known], n[~known]).view(np.int64))
-            bodies = [symbols(w) for w in texts]
-            if model is not None:
-                keys, sizes = gram_keys(bodies)
-                score = np.add.reduceat(_looked_up(keys, *model), np.r_[0, np.cumsum(sizes)[:-1]]).tolist()
-                grams: list = [None] * len(texts)
-            else:
-                score = [0.0] * len(texts)
-                counted = [_counted(gram_keys([b])[0]) for b in bodies]
-                grams = [[{"key": k, "n": m} for k, m in zip(a.view(np.int64).tolist(), b.tolist(), strict=True)] for a, b in counted]
-            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.list_(pa.int64())), pa.array(score, pa.float64()), pa.array(grams, pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *arrays], ["doc_id", "held_out", "rid", "n_tokens", "n_known", "base_score", "cold", "score", "grams"])
+            keys, sizes = gram_keys([symbols(w) for w in texts])
+            logs, known = _looked_up(keys, *model)
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
+            ends = np.r_[0, np.cumsum(np.add.reduceat(~known, starts, dtype=np.int64))]
+            grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[~known].view(np.int64)))
+            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.list_(pa.int64())), pa.array(np.add.reduceat(logs, starts)), grams]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *arrays], ["doc_id", "held_out", "rid", "n_tokens", "n_known", "base_score", "cold", "score", "cold_grams"])
 
         for whole in batches:
             every = text_bytes(whole.column(1))
             for i, j in slices(every):
                 yield from scored(whole.slice(i, j - i), [split_words(t) for t in every[i:j]])
 
-    schema = "doc_id long, held_out boolean, rid long, n_tokens long, n_known long, base_score double, cold array<long>, score double, grams array<struct<key:long,n:long>>"
+    schema = "doc_id long, held_out boolean, rid long, n_tokens long, n_known long, base_score double, cold array<long>, score double, cold_grams array<long>"
     each = settle(wanted.withColumn("rid", F.monotonically_increasing_id()).select("doc_id", "text", "held_out", "rid").mapInArrow(run, schema), "ppm-documents")
     cold = each.select("rid", F.explode("cold").alias("key")).join(counts.words, "key", "left")
     cold = cold.groupBy("rid").agg(F.count("train").alias("cold_known"), F.sum(F.log10(F.coalesce("train", F.lit(0)) + 0.5) - F.lit(float(below))).alias("cold_score"))
     out = each.join(cold, "rid", "left")
     if not held:
-        joined = each.select("rid", F.explode("grams").alias("g")).select("rid", "g.*").join(scores, "key")
-        out = out.join(joined.groupBy("rid").agg(F.sum(F.col("n") * F.col("logp")).alias("gram_score")), "rid", "left").withColumn("score", F.coalesce("gram_score", F.lit(0.0)))
+        joined = each.select("rid", F.explode("cold_grams").alias("key")).join(scores, "key")
+        rare = settle(joined.groupBy("rid").agg(F.sum("logp").alias("gram_score")), "ppm-rare")
+        out = out.join(rare, "rid", "left").withColumn("score", F.col("score") + F.coalesce("gram_score", F.lit(0.0)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("cold_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("cold_score", F.lit(0.0))).alias("base_score"), "score",
